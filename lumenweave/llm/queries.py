@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lumenweave.functions.text import article
 from lumenweave.llm import cooccurrence
 from lumenweave.llm.chunking import split_oversized
+from lumenweave.llm.language import identify, mislabelled
+from lumenweave.llm.packing import pack, summary
 from lumenweave.llm.split_overlap import SplitOverlap
 from lumenweave.llm.term_counts import TermCounts, records
+from lumenweave.llm.tokenizing import encode
 from lumenweave.plans.training import ENTITIES, disease_names, drug_names
 from lumenweave.session import table
 
@@ -79,6 +82,37 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir).report()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by byte_bpe_50k; an empty list for null and empty texts."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of one longer than a container, in a container of 2,048 tokens."""
+    sizes = encode(table(spark, sf_dir, "documents"), "doc_id", "text", counts=True)
+    return pack(sizes, "row_id", "n_tokens").withColumnRenamed("row_id", "doc_id")
+
+
+def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are and how full."""
+    return summary(p8_containers(spark, sf_dir))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source", "journal_name")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label, or in several languages: one row for each language of the text."""
+    return mislabelled(_languages(spark, sf_dir)).select(F.col("row_id").alias("doc_id"), "true_lang")
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every text with its language and a confidence."""
+    rows = _languages(spark, sf_dir).select(F.col("row_id").alias("doc_id"), "declared", F.posexplode("segments").alias("pos", "s"))
+    return rows.select("doc_id", "declared", "pos", "s.begin", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.sentences")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -89,6 +123,11 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_summary": p8_summary,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
 }
 
 _TERM = "trim(regexp_replace(lower({}), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
