@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from lumenweave.plans import training
+from lumenweave.plans import aggregates, relational, training
 
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
+_PARTS = [relational.query, aggregates.query]
+
+QUERIES = dict(training.QUERIES)
+ORACLES = dict(training.ORACLES)
+for _part in _PARTS:
+    QUERIES |= _part.queries
+    ORACLES |= _part.oracles
