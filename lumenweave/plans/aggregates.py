@@ -183,7 +183,7 @@ def _(s, d):
     return long.groupBy("feature").agg(F.round(F.avg(F.when(F.col("up"), F.col("v"))), 4).alias("reached"), F.round(F.avg(F.when(~F.col("up"), F.col("v"))), 4).alias("failed"))
 
 
-_T = "regexp_replace(lower(trim({0})), '[\\s\\x{{a0}}]+', ' ', 'g')"
+_T = "trim(regexp_replace(lower({0}), '[\\s\\x{{a0}}]+', ' ', 'g'))"
 _REACH = f"with f as (select {_T.format('merged_umls_label')} drug, {_T.format('merged_mondo_label')} dis, sum(coalesce(clinical_count, 0)) c, sum(coalesce(preclinical_count, 0)) n, bool_or(fda_earliest_year is not null) fda, bool_or(coalesce(at_least_one_phase4, false)) p4 from {TR} where merged_umls_label is not null and merged_mondo_label is not null group by 1, 2)"
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenweave.plans import aggregates, relational, training
+from lumenweave.plans import aggregates, files, graphs, relational, texts, training
 
-_PARTS = [relational.query, aggregates.query]
+_PARTS = [relational.query, aggregates.query, texts.query, graphs.query, files.query]
 
 QUERIES = dict(training.QUERIES)
 ORACLES = dict(training.ORACLES)
