@@ -61,7 +61,8 @@ def _(s, d):
 @query("s05_delimited_records", f"select pmid, year::varchar as year, nullif(publication_type, 'N/A') as publication_type from {META} where pmid not like '%\t%' and meta_row_id % 9 <> 0")
 def _(s, d):
     m = table(s, d, META).where("pmid not like '%\t%'")
-    line = F.concat_ws("|||", F.when(F.col("meta_row_id") % 9 == 0, F.lit("short")), F.when(F.col("meta_row_id") % 9 != 0, "pmid"), F.when(F.col("meta_row_id") % 9 != 0, F.coalesce(F.col("year").cast("string"), F.lit("N/A"))), F.when(F.col("meta_row_id") % 9 != 0, F.coalesce("publication_type", F.lit("N/A"))))
+    whole = F.concat_ws("|||", "pmid", F.coalesce(F.col("year").cast("string"), F.lit("N/A")), F.coalesce("publication_type", F.lit("N/A")))
+    line = F.when(F.col("meta_row_id") % 9 == 0, F.col("pmid")).otherwise(whole)
     m.select(line).write.text(p := fresh_path(s, "text"))
     return S.read_records(s, p, ["pmid", "year", "publication_type"]).drop("chunk")
 
@@ -84,9 +85,10 @@ def _(s, d):
 def _(s, d):
     t = table(s, d, "supplier").select("s_suppkey", "s_name")
     p = fresh_path(s, "json")
-    t.where("s_suppkey % 2 = 0").groupBy(F.pmod("s_suppkey", F.lit(8)).alias("g")).agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value")).select("value").write.option("lineSep", " ").text(p)
-    t.where("s_suppkey % 2 <> 0").write.mode("append").json(p)
-    return S.read_json_any(s, p, "s_suppkey bigint, s_name string")
+    arrays = t.where("s_suppkey % 2 = 0").groupBy(F.pmod("s_suppkey", F.lit(8)).alias("g")).agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value"))
+    arrays.write.partitionBy("g").text(f"{p}/arrays")
+    t.where("s_suppkey % 2 <> 0").write.json(f"{p}/lines")
+    return S.read_json_any(s, [f"{p}/arrays/*", f"{p}/lines"], "s_suppkey bigint, s_name string")
 
 
 @query("s12_xml_records", "select p_partkey, p_brand from part")
