@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.segment import MAYBE_MANY, Segmenter
 from lumenweave.functions.text import strip
+from lumenweave.session import spread
 
 #: Most entries a dictionary may have. It is sent to every worker, so its size is checked; 500,000 names take about 300 MB.
 MOST_KNOWN = 500_000
@@ -70,8 +71,8 @@ def unpack(df: DataFrame, row_id: str, field: str, known: list[str], least: int
     cell = F.col(f"`{field}`")
     rows = df.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), cell.alias("cell"))
     if least > 1:
-        rows = rows.where(strip(F.col("cell")).rlike(MAYBE_MANY + r"|\d\s+-?\w"))
-    cut = rows.select("row_id", values(F.col("cell"), known).alias("items")).where(F.size("items") >= least)
+        rows = rows.where(F.col("cell").rlike(MAYBE_MANY + r"|\d\s+-?\w"))
+    cut = spread(rows).select("row_id", values(F.col("cell"), known).alias("items")).where(F.size("items") >= least)
     return cut.select(
         F.lit(source).alias("src_table"),
         "row_id",
