@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.functions.text import squeeze
+from lumenweave.session import spread
 
 # The languages and the ways to write them. Regions (de-AT) and case don't matter.
 LANGS = ("de", "en", "es", "fr", "it", "pt")
@@ -33,6 +34,8 @@ FIT_ROUNDS = 3
 #: Trust in a label when it is one of the languages, pseudo-counts of the level above, chance that the language changes
 #: between two sentences, and the weight of one word's evidence (words of a sentence are not independent).
 TRUST, PRIOR_WEIGHT, CHANGE, SHARPNESS = 0.8, 20.0, 0.01, 0.5
+#: Difference of log-likelihoods that no prior outweighs.
+CLEAR = 15.0
 #: Sentences in a row that put a language into a text; fewest words of a sentence.
 IN_A_ROW, LEAST_WORDS = 2, 4
 
@@ -187,6 +190,11 @@ def decode(scores: np.ndarray, whole: np.ndarray, start: np.ndarray) -> tuple[np
     """Language of each unit and its chance, by forward and backward passes over the sentences."""
     n, k = scores.shape
     ll = scores * SHARPNESS
+    first = ll.argmax(axis=1)
+    if n and (first == first[0]).all():
+        rest = np.delete(ll, first[0], axis=1).max(axis=1) - ll[:, first[0]]
+        if rest.max() < -CLEAR:  # every sentence says the same, whatever the priors
+            return first, 1 / (1 + np.exp(rest))
     move = np.full((k, k), CHANGE / (k - 1)) + np.eye(k) * (1 - CHANGE - CHANGE / (k - 1))
     lik = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -60))
     forward = np.empty((n, k))
@@ -257,7 +265,7 @@ def identify(df: DataFrame, row_id: str, text: str, label: str, outer: str, inne
                 names=["row_id", "declared", "outer", "inner", "begins", "ends", "wholes", "scores"],
             )
 
-    scored = rows.mapInArrow(read, f"row_id {kind}, declared string, outer string, inner string, begins array<int>, ends array<int>, wholes array<boolean>, scores array<float>")
+    scored = spread(rows).mapInArrow(read, f"row_id {kind}, declared string, outer string, inner string, begins array<int>, ends array<int>, wholes array<boolean>, scores array<float>")
     chances = priors(rows.select("declared", "outer", "inner"), "declared", "outer", "inner")
     fused = scored.join(chances, ["outer", "inner"], "left")
 

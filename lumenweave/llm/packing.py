@@ -200,6 +200,8 @@ def pack(items: DataFrame, row_id: str, size: str, capacity: int = CAPACITY, gro
                 fill[b] = size_of[b].sum()
             return pdf.drop(columns="grp").assign(container_id=where, fill=fill)
 
+        # A stated number of partitions, which is not made smaller: groups are small in bytes but long to pack.
+        dealt = dealt.repartition(min(groups, 10_000), "grp")
         return written(dealt.groupBy("grp").applyInPandas(one, schema), f"pack-{level}")
 
     first = packed(rows, 0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.session import written
+from lumenweave.session import spread, written
 
 #: Words in a shingle; records of nine words, where two of five don't fit, take four.
 Q, SHORT_Q, SHORT_N = 5, 4, 9
@@ -145,7 +145,8 @@ def choose_all(cost: np.ndarray, k: int, q: int) -> list[int]:
 def _sides(df: DataFrame, row_id: str, split: str, tokens: str, extra: list[str]) -> DataFrame:
     """Records of train, dev and test with words: rec_id, split, train, words, text_key and the extra columns."""
     name = F.lower(F.trim(F.regexp_replace(F.col(split), r"\s+", " ")))
-    rows = df.select(F.col(row_id).cast("bigint").alias("rec_id"), name.alias("split"), words(F.col(tokens)).alias("words"), *extra)
+    few = spread(df.select(F.col(row_id).cast("bigint").alias("rec_id"), name.alias("split"), F.col(tokens).alias("tokens"), *extra))
+    rows = few.withColumn("words", words(F.col("tokens"))).drop("tokens")
     kept = rows.where(F.col("split").isin("train", "dev", "test") & (F.size("words") > 0))
     return kept.withColumn("train", F.col("split") == "train").withColumn("text_key", F.unhex(F.md5(F.array_join("words", " "))))
 

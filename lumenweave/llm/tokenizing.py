@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.session import width
+from lumenweave.session import spread, width
 
 #: Folder of the vocabulary files.
 HOME = "/opt/tokenizers"
@@ -191,10 +191,10 @@ def encode(df: DataFrame, row_id: str, text: str, name: str = "byte_bpe_50k", ho
                 yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(i, 1), out], names=["row_id", "n_tokens" if counts else "ids"])
 
     is_long = F.length("text") > leaf
-    near = rows.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, result)
+    near = spread(rows.where(~F.coalesce(is_long, F.lit(False)))).mapInArrow(short, result)
     long = rows.where(is_long).withColumn("line", F.monotonically_increasing_id())
     made = long.mapInArrow(cut, f"row_id {kind}, line bigint, part int, kind int, piece binary")
-    spread = made.repartition(width(df.sparkSession), "line", "part")
-    coded = spread.mapInArrow(leaf_ids, f"row_id {kind}, line bigint, part int, kind int, ids array<int>")
+    dealt = made.repartition(width(df.sparkSession), "line", "part")
+    coded = dealt.mapInArrow(leaf_ids, f"row_id {kind}, line bigint, part int, kind int, ids array<int>")
     far = coded.groupBy("line").agg(F.first("row_id").alias("row_id"), F.sort_array(F.collect_list(F.struct("part", "kind", "ids"))).alias("leaves")).select("row_id", "leaves").mapInArrow(stitch, result)
     return near.union(far)
