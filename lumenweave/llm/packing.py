@@ -214,4 +214,4 @@ def summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """containers, items, tokens, least containers possible by volume, and share of the space that is used."""
     bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("items"))
     total = F.coalesce(F.sum("fill"), F.lit(0))
-    return bins.agg(F.count("*").alias("containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), total.alias("tokens"), F.ceil(total / capacity).alias("least"), F.round(total / (F.count("*") * capacity), 6).alias("used"))
+    return bins.agg(F.count("*").alias("containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), total.alias("tokens"), F.ceil(total / capacity).alias("least"), F.coalesce(F.round(F.try_divide(total, F.count("*") * capacity), 6), F.lit(1.0)).alias("used"))
