@@ -87,6 +87,37 @@ def _(s, d):
     return t.select("entity_row_id", F.array_join(both["id"], "|").alias("ids"))
 
 
+_PIECES = f"""with l as (select entity_row_id, string_split(coalesce(disease_mondo_termid, ''), '|') i, string_split(coalesce(disease_mondo_term_norm, ''), '|') n, string_split(coalesce(nearest_dataset_parent_label, ''), '|') p from {ENT}),
+names as (select lower(trim(name)) k, min(id) id from ontology_terms group by 1),
+own as (select entity_row_id, pos, coalesce(trim(i[pos]), '') id, coalesce(trim(n[pos]), '') label from l, unnest(range(1, greatest(len(i), len(n)) + 1)) r(pos)),
+own1 as (select entity_row_id, id, min(pos) pos, arg_min(label, pos) as label from own where id <> '' or label <> '' group by entity_row_id, id, lower(label)),
+up as (select entity_row_id, pos, coalesce(names.id, '-1') id, label from (select entity_row_id, pos, trim(p[pos]) as label from l, unnest(range(1, len(p) + 1)) r(pos)) left join names on lower(label) = k where label not in ('', '-1')),
+up1 as (select entity_row_id, id, min(pos) pos, arg_min(label, pos) as label from up where not exists (select 1 from own1 o where o.entity_row_id = up.entity_row_id and o.id = up.id and (up.id <> '-1' or lower(o.label) = lower(up.label))) group by entity_row_id, id, case when id = '-1' then lower(label) end),
+merged as (select *, 1 as side from own1 union all select *, 2 from up1)"""
+
+
+@query("f55_merged_lists", _PIECES + " select entity_row_id, coalesce(string_agg(m.id, '|' order by side, pos), '') as ids, coalesce(string_agg(m.label, '|' order by side, pos), '') as labels from l left join merged m using (entity_row_id) group by 1")
+def _(s, d):
+    """Ids and labels of every row with those of its parents: own ones once by (id, lower label), then parents whose id is not there yet.
+
+    The table names parents by label; their ids are those of the ontology. One that the ontology doesn't have keeps its label, with ``-1``.
+    """
+    names = table(s, d, "ontology_terms").groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min("id").alias("pid"))
+    t = table(s, d, ENT).select("entity_row_id", *[F.split(F.coalesce(c, F.lit("")), r"\|").alias(a) for c, a in (("disease_mondo_termid", "i"), ("disease_mondo_term_norm", "n"), ("nearest_dataset_parent_label", "p"))])
+    flat = t.select("entity_row_id", F.posexplode("p").alias("pos", "x")).select("entity_row_id", "pos", F.trim("x").alias("label")).where("label not in ('', '-1')")
+    named = flat.withColumn("k", F.lower("label")).join(names, "k", "left").withColumn("id", F.coalesce("pid", F.lit("-1")))
+    key = F.struct("id", F.when(F.col("id") == "-1", F.col("k")).otherwise("").alias("k"))
+    up = named.groupBy("entity_row_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("id", "label", key.alias("key")).alias("v")))).alias("up"))
+    blank = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    own = F.transform(F.arrays_zip("i", "n"), lambda x: F.struct(blank(x["i"]).alias("id"), blank(x["n"]).alias("label"), F.struct(blank(x["i"]).alias("id"), F.lower(blank(x["n"])).alias("k")).alias("key")))
+    none = F.filter(own, lambda x: F.lit(False))
+    t = t.select("entity_row_id", C.ordered_union(F.filter(own, lambda x: (x["id"] != "") | (x["label"] != "")), none, "key").alias("own")).join(up, "entity_row_id", "left")
+    there = lambda x: F.exists("own", lambda y: (y["id"] == x["id"]) & ((x["id"] != "-1") | (y["key"]["k"] == x["key"]["k"])))
+    added = F.filter(F.coalesce(F.col("up.v"), F.filter("own", lambda x: F.lit(False))), lambda x: ~there(x))
+    both = F.concat("own", C.ordered_union(added, F.filter("own", lambda x: F.lit(False)), "key"))
+    return t.select("entity_row_id", F.array_join(both["id"], "|").alias("ids"), F.array_join(both["label"], "|").alias("labels"))
+
+
 _ROOTS = "(select id, name, regexp_replace(lower(name), '(,? type \\d+|, severe form|, autosomal, early| \\(late stage\\))$', '') root from ontology_terms)"
 
 
