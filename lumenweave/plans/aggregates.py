@@ -64,6 +64,14 @@ def _(s, d):
     return t.groupBy("batch_id").agg(text.alias("items"), F.count("*").alias("n"))
 
 
+@query("a01_collect_all_lists", f"select normalized_key, string_agg(pair_row_id || ':' || coalesce(preclinical_count::varchar, 'null'), ',' order by pair_row_id) as items, count(*) as n from {TR} group by 1")
+def _(s, d):
+    """Every row of each pair; rows without a key are a group of their own."""
+    items = F.sort_array(F.collect_list(F.struct("pair_row_id", "preclinical_count")))
+    text = F.array_join(F.transform(items, lambda x: F.concat(x["pair_row_id"].cast("string"), F.lit(":"), F.coalesce(x["preclinical_count"].cast("string"), F.lit("null")))), ",")
+    return table(s, d, TR).groupBy("normalized_key").agg(text.alias("items"), F.count("*").alias("n"))
+
+
 @query("a02_group_first", f"select {NUM} as k, arg_min(journal_name, meta_row_id) filter (where journal_name is not null) as journal from {META} where {NUM} is not null group by 1")
 def _(s, d):
     m = table(s, d, META).select(article(F.col("pmid")).alias("k"), "journal_name", "meta_row_id").where("k is not null")

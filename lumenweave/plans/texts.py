@@ -130,6 +130,12 @@ def _(s, d):
     return t.select("doc_id", F.regexp_replace(without_accents(F.lower("text")), "[^a-z]", "").alias("plain"))
 
 
+@query("f02_all_without_accents", "select doc_id, regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') as plain from documents")
+def _(s, d):
+    """Every document, whatever its label of language."""
+    return table(s, d, "documents").select("doc_id", F.regexp_replace(without_accents(F.lower("text")), "[^a-z]", "").alias("plain"))
+
+
 @query("f03_repaired_spaces", f"select rec_id, regexp_replace(regexp_replace(regexp_replace(t, '\\s*([-/])\\s*', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g') as text from (select rec_id, list_aggregate([x for x in tokens if x is not null], 'string_agg', ' ') t from {NER} where tokens is not null and len(tokens) > 0)")
 def _(s, d):
     t = table(s, d, NER).where("tokens is not null and size(tokens) > 0")

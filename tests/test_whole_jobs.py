@@ -30,3 +30,15 @@ def test_f55_merges_whole_lists(spark, tmp_path):
     save(spark, tmp_path, "entities_drug_disease_preclin", rows, "entity_row_id bigint, disease_mondo_termid string, disease_mondo_term_norm string, nearest_dataset_parent_label string")
     want = {(1, "m2|m3|m1", "Two|Three|one"), (2, "m1", "One"), (3, "m4", "Four"), (4, "m2|-1", "Two|unheard of"), (5, "", ""), (6, "-1|m4|m2|m1", "a|Four|Two|One")}
     assert both(spark, tmp_path, "f55_merged_lists") == want
+
+
+def test_a01_collects_every_row(spark, tmp_path):
+    rows = [(3, 1, "a <> b", None, None), (1, 1, "a <> b", 4, 2001), (2, 2, "a <> b", 5, None), (4, 2, None, 6, None)]
+    save(spark, tmp_path, "translation_table_drug_disease_full", rows, "pair_row_id bigint, batch_id bigint, normalized_key string, preclinical_count int, fda_earliest_year int")
+    assert both(spark, tmp_path, "a01_collect_all_lists") == {("a <> b", "1:4,2:5,3:null", 3), (None, "4:6", 1)}
+
+
+def test_f02_takes_every_document(spark, tmp_path):
+    rows = [(1, "Été 1", "fr"), (2, "Größe", "DE"), (3, "Ñandú", None), (4, "à", "sv"), (5, None, "en"), (6, "", "")]
+    save(spark, tmp_path, "documents", rows, "doc_id bigint, text string, lang string")
+    assert both(spark, tmp_path, "f02_all_without_accents") == {(1, "ete"), (2, "groe"), (3, "nandu"), (4, "a"), (5, None), (6, "")}
