@@ -74,7 +74,7 @@ def _(s, d):
 @query("g07_lowest_common_ancestor")
 def _(s, d):
     up = _closure(s, d)
-    groups = table(s, d, ENT).where("size(split(disease_mondo_termid, '[|]')) between 2 and 4").select(F.col("entity_row_id").alias("grp"), F.explode(C.tokens(F.col("disease_mondo_termid"))).alias("node")).where("node <> '-1'").distinct()
+    groups = table(s, d, ENT).select(F.col("entity_row_id").alias("grp"), F.explode(C.tokens(F.col("disease_mondo_termid"))).alias("node")).where("node <> '-1'").distinct()
     return G.lowest_common(up, groups, G.depths(up, ROOT))
 
 

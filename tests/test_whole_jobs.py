@@ -42,3 +42,11 @@ def test_f02_takes_every_document(spark, tmp_path):
     rows = [(1, "Été 1", "fr"), (2, "Größe", "DE"), (3, "Ñandú", None), (4, "à", "sv"), (5, None, "en"), (6, "", "")]
     save(spark, tmp_path, "documents", rows, "doc_id bigint, text string, lang string")
     assert both(spark, tmp_path, "f02_all_without_accents") == {(1, "ete"), (2, "groe"), (3, "nandu"), (4, "a"), (5, None), (6, "")}
+
+
+def test_g07_takes_groups_of_any_size(spark, tmp_path):
+    rows = [("r", []), ("a", ["r"]), *[(f"c{i}", ["a"]) for i in range(7)]]
+    save(spark, tmp_path, "ontology_terms", [(f"MONDO:{'9225707' if k == 'r' else k}", [f"MONDO:{'9225707' if p == 'r' else p}" for p in ps]) for k, ps in rows], "id string, parents array<string>")
+    cells = [(1, "|".join(f"MONDO:c{i}" for i in range(7))), (2, "MONDO:c3"), (3, "MONDO:c1|-1||MONDO:c2|-1"), (4, "-1"), (5, None), (6, "MONDO:c1|MONDO:a")]
+    save(spark, tmp_path, "entities_drug_disease_preclin", cells, "entity_row_id bigint, disease_mondo_termid string")
+    assert both(spark, tmp_path, "g07_lowest_common_ancestor") == {(1, "MONDO:a"), (2, "MONDO:c3"), (3, "MONDO:a"), (6, "MONDO:a")}
