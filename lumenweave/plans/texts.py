@@ -75,6 +75,26 @@ def _(s, d):
     return hits.where(F.size("names") > 0).select("doc_id", "domain", F.array_join("names", "|").alias("found"))
 
 
+VOCABULARY = [(domain, synonym, canonical) for domain, names in DOMAINS.items() for synonym, canonical in names.items()]
+_WORDS = "(values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in VOCABULARY) + ") v(domain, synonym, canonical)"
+
+
+def _found(rows: str, keys: str, text: str) -> str:
+    """SQL of each hit of each domain: the longest synonym at a place."""
+    return "(" + " union all ".join(f"select {keys}, '{domain}' as domain, unnest(regexp_extract_all(lower({text}), '\\b({'|'.join(sorted(names, key=lambda x: (-len(x), x)))})\\b', 1)) x from {rows}" for domain, names in DOMAINS.items()) + ")"
+
+
+def _vocabulary(s):
+    return K.vocabulary(s.createDataFrame(VOCABULARY, "domain string, synonym string, canonical string"))
+
+
+@query("c08_assay_domains", f"select d.doc_id, g.domain, (count(v.canonical) > 0)::int as hit, coalesce(string_agg(distinct v.canonical, '|' order by v.canonical), '') as found from documents d cross join (select distinct domain from {_WORDS}) g left join {_found('documents', 'doc_id', 'text')} f on f.doc_id = d.doc_id and f.domain = g.domain left join {_WORDS} on v.domain = f.domain and v.synonym = f.x group by 1, 2")
+def _(s, d):
+    """Each document and each domain of the dictionary table: whether it is hit, and the canonical names."""
+    hits = K.assay_domains(table(s, d, "documents"), ["doc_id"], "text", _vocabulary(s))
+    return hits.select("doc_id", "domain", (F.size("names") > 0).cast("int").alias("hit"), F.array_join("names", "|").alias("found"))
+
+
 @query("c10_animal_sentences", f"select doc_id, count(*) as n from {_SENT} where regexp_matches(sentence, '(?i)\\b(?:animals?|mice|mouse|rats?|rabbits?)\\b') group by 1")
 def _(s, d):
     rows = K.sentences(table(s, d, "documents").where("text is not null"), "doc_id", "text")
@@ -93,6 +113,14 @@ def _(s, d):
     return t.select("meta_row_id", F.regexp_extract("title", p, 1).alias("disease"), F.regexp_extract("title", p, 2).alias("strain"))
 
 
+@query("c12_model_mentions")
+def _(s, d):
+    """Every mention of a disease model in titles and in documents."""
+    titles = table(s, d, META).select(F.lit(META).alias("src_table"), F.col("meta_row_id").alias("row_id"), F.col("title").alias("text"))
+    texts = table(s, d, "documents").select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("row_id"), "text")
+    return K.model_mentions(titles.union(texts), ["src_table", "row_id"], "text")
+
+
 @query("a09_zero_fallback", f"with c as (select doc_id, sentence_id, {_hit(K.BLINDING, 'sentence')}::int code from {_SENT}), m as (select doc_id, max(code) code from c group by 1) select m.doc_id, m.code, string_agg(sentence_id::varchar, ',' order by sentence_id) as support from m join c on c.doc_id = m.doc_id and (m.code = 0 or c.code > 0) group by 1, 2")
 def _(s, d):
     rows = K.sentences(table(s, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "sentence_id", K.blinding(F.col("sentence")).alias("c"))
@@ -112,6 +140,16 @@ def _(s, d):
     return hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"), F.countDistinct("sentence_id").alias("sentences"))
 
 
+@query("a11_assay_domains", f"with h as (select doc_id, sentence_id, f.domain, canonical from {_found(_SENT, 'doc_id, sentence_id', 'sentence')} f join {_WORDS} on v.domain = f.domain and v.synonym = f.x), g as (select doc_id, domain, string_agg(distinct canonical, ', ' order by canonical) as names, (select string_agg(i, ', ') from unnest(list_sort(list(distinct sentence_id))) u(i)) as ids from h group by 1, 2) select doc_id, string_agg(domain, ', ' order by domain) as labels, string_agg(domain || ': ' || names, '; ' order by domain) as names, string_agg(domain || ': ' || ids, '; ' order by domain) as sentences from g group by 1")
+def _(s, d):
+    """Of each document with a hit the domains, and for each domain its names and sentences."""
+    rows = K.sentences(table(s, d, "documents").where("text is not null"), "doc_id", "text")
+    hits = K.assay_domains(rows, ["doc_id", "sentence_id"], "sentence", _vocabulary(s)).where(F.size("names") > 0)
+    g = hits.groupBy("doc_id", "domain").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ", ").alias("names"), F.array_join(F.array_sort(F.collect_set("sentence_id")).cast("array<string>"), ", ").alias("ids"))
+    each = F.sort_array(F.collect_list(F.struct("domain", F.concat_ws(": ", "domain", "names").alias("names"), F.concat_ws(": ", "domain", "ids").alias("ids"))))
+    return g.groupBy("doc_id").agg(each.alias("e")).select("doc_id", F.array_join("e.domain", ", ").alias("labels"), F.array_join("e.names", "; ").alias("names"), F.array_join("e.ids", "; ").alias("sentences"))
+
+
 @query("a32_paragraph_concat", f"select doc_id, string_agg(sentence, chr(10) order by sentence_id) as text from {_SENT} group by 1")
 def _(s, d):
     rows = K.sentences(table(s, d, "documents").where("text is not null"), "doc_id", "text")

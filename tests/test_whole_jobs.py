@@ -2,6 +2,7 @@
 
 import duckdb
 
+from lumenweave.operators import classify as K
 from lumenweave.plans.catalogue import ORACLES, QUERIES
 
 
@@ -50,3 +51,37 @@ def test_g07_takes_groups_of_any_size(spark, tmp_path):
     cells = [(1, "|".join(f"MONDO:c{i}" for i in range(7))), (2, "MONDO:c3"), (3, "MONDO:c1|-1||MONDO:c2|-1"), (4, "-1"), (5, None), (6, "MONDO:c1|MONDO:a")]
     save(spark, tmp_path, "entities_drug_disease_preclin", cells, "entity_row_id bigint, disease_mondo_termid string")
     assert both(spark, tmp_path, "g07_lowest_common_ancestor") == {(1, "MONDO:a"), (2, "MONDO:c3"), (3, "MONDO:a"), (6, "MONDO:a")}
+
+
+TEXTS = [(1, "A maze and an open field. Slides were stained. The maze again!"), (2, "Sections examined by light microscope, STAINED."), (3, "Nothing."), (4, None)]
+
+
+def test_c08_gives_every_domain(spark, tmp_path):
+    save(spark, tmp_path, "documents", TEXTS, "doc_id bigint, text string")
+    want = {(1, "behavior", 1, "maze|open field test"), (1, "histology", 1, "staining"), (2, "behavior", 0, ""), (2, "histology", 1, "microscopy|section count|staining")}
+    assert both(spark, tmp_path, "c08_assay_domains") == want | {(i, x, 0, "") for i in (3, 4) for x in ("behavior", "histology")}
+
+
+def test_vocabulary_is_a_table(spark):
+    rows = [("pain", "Hot Plate; tail flick", "nociception"), ("pain", "plate", "plate test"), ("motor", "rotarod;", "rotarod test")]
+    names = K.vocabulary(spark.createDataFrame(rows, "domain string, synonym string, canonical string"))
+    assert names == {"motor": {"rotarod": "rotarod test"}, "pain": {"hot plate": "nociception", "tail flick": "nociception", "plate": "plate test"}}
+    got = K.assay_domains(spark.createDataFrame([(1, "A hot plate, then a tail flick")], "i int, t string"), ["i"], "t", names)
+    assert {(r.domain, *r.names) for r in got.collect()} == {("pain", "nociception"), ("motor",)}
+
+
+def test_a11_unites_every_domain(spark, tmp_path):
+    save(spark, tmp_path, "documents", TEXTS, "doc_id bigint, text string")
+    want = {(1, "behavior, histology", "behavior: maze, open field test; histology: staining", "behavior: 0, 2; histology: 1"), (2, "histology", "histology: microscopy, section count, staining", "histology: 0")}
+    assert both(spark, tmp_path, "a11_assay_domains") == want
+
+
+def test_c12_gives_every_mention(spark, tmp_path):
+    save(spark, tmp_path, "full_pubmed_filtered_animal_6002827_metadata", [(1, "A model of lorexia, type 2 in Vel-Brown guinea pigs."), (2, None)], "meta_row_id bigint, title string")
+    text = "EAE and MPTP-treated mice; hemi-parkinsonian rats, 5xfad and app/ps1 lines. Cuprizone model. A model of x in y z. A model of u in v w."
+    save(spark, tmp_path, "documents", [(7, text), (8, "No.")], "doc_id bigint, text string")
+    got = both(spark, tmp_path, "c12_model_mentions")
+    assert {r[4:] for r in got if r[1] == 1} == {("A model of lorexia, type 2 in Vel-Brown guinea pigs.", "lorexia, type 2", "Vel-Brown")}
+    ms, pd, ad = "multiple sclerosis", "Parkinson disease", "Alzheimer disease"
+    want = {("EAE", ms), ("MPTP-treated", pd), ("hemi-parkinsonian", pd), ("5xfad", ad), ("app/ps1", ad), ("Cuprizone model", ms), ("A model of x in y z.", "x"), ("A model of u in v w.", "u")}
+    assert {r[4:6] for r in got if r[1] == 7} == want and all(text[r[2] : r[3]] == r[4] for r in got if r[1] == 7)
