@@ -223,6 +223,19 @@ def _(s, d):
     return t.select("doc_id", w.alias("weeks"), B.age_class(w).alias("age_class"))
 
 
+_EVERY_AGE = "(select doc_id, pos::int as pos, try_cast(ns[pos] as int) n, us[pos] u from (select doc_id, regexp_extract_all(text, '(\\d+) (day|week|month|year)s?\\b', 1) ns, regexp_extract_all(text, '(\\d+) (day|week|month|year)s?\\b', 2) us from documents where text is not null), unnest(range(1, len(ns) + 1)) r(pos))"
+
+
+@query("f30_every_age", f"select doc_id, pos, w as weeks, case when w < 8 then 'young' when w < 60 then 'adult' when w >= 60 then 'aged' end as age_class from (select doc_id, pos, {_WEEKS} w from {_EVERY_AGE})")
+def _(s, d):
+    """One row for each age expression of a document; a number beyond 32 bits has neither weeks nor class."""
+    p = F.lit(r"(\d+) (day|week|month|year)s?\b")
+    both = F.arrays_zip(F.regexp_extract_all("text", p, F.lit(1)).alias("n"), F.regexp_extract_all("text", p, F.lit(2)).alias("u"))
+    t = table(s, d, "documents").select("doc_id", F.posexplode(both).alias("at", "x")).select("doc_id", (F.col("at") + 1).alias("pos"), F.col("x.n").try_cast("int").alias("n"), F.col("x.u").alias("u"))
+    w = B.weeks(F.col("n"), F.col("u"))
+    return t.select("doc_id", "pos", w.alias("weeks"), B.age_class(w).alias("age_class"))
+
+
 @query("f33_lost_dash", "select p_partkey, case when n > 150 and length(n::varchar) = 3 then left(n::varchar, 1) || '-' || substr(n::varchar, 2) when n > 150 then left(n::varchar, 2) || '-' || substr(n::varchar, 3) else n::varchar end as age from (select p_partkey, (p_size * 37 % 1500)::int n from part)")
 def _(s, d):
     n = (F.col("p_size") * 37 % 1500).cast("int")

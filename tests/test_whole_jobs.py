@@ -85,3 +85,10 @@ def test_c12_gives_every_mention(spark, tmp_path):
     ms, pd, ad = "multiple sclerosis", "Parkinson disease", "Alzheimer disease"
     want = {("EAE", ms), ("MPTP-treated", pd), ("hemi-parkinsonian", pd), ("5xfad", ad), ("app/ps1", ad), ("Cuprizone model", ms), ("A model of x in y z.", "x"), ("A model of u in v w.", "u")}
     assert {r[4:6] for r in got if r[1] == 7} == want and all(text[r[2] : r[3]] == r[4] for r in got if r[1] == 7)
+
+
+def test_f30_gives_every_age(spark, tmp_path):
+    rows = [(1, "Rats of 20 days and 10 weeks; later 2 years, 3 months."), (2, "None."), (3, None), (4, "99999999999 days, then 1 week")]
+    save(spark, tmp_path, "documents", rows, "doc_id bigint, text string")
+    want = {(1, 1, 2, "young"), (1, 2, 10, "adult"), (1, 3, 104, "aged"), (1, 4, 13, "adult"), (4, 1, None, None), (4, 2, 1, "young")}
+    assert both(spark, tmp_path, "f30_every_age") == want
