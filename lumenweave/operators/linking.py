@@ -65,17 +65,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def near_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Best ``right.name`` for each ``left.name`` with at least that similarity, ties by name: name, match, score.
+def _sharing(left: DataFrame, right: DataFrame, edits: float, longer: float) -> DataFrame:
+    """Pairs of different tables' names (a, b) that may be near: all pairs within the bounds, and others.
 
-    A pair of that similarity has lengths within its bound and, cut into e + 1 parts of equal length, shares a part at a place
-    moved by e at most; so parts of the shorter are the join key and no pair is lost. ``least`` must be above one half.
+    ``edits``: the most edits to any partner, as a share of the name's length; below one. ``longer``: the most that the longer
+    name may be of the shorter. Cut into e + 1 parts, one of them stands whole in any partner; so parts are the join key.
     """
-    cut = 1 - least
 
     def parts(n: str) -> Column:
-        e = F.floor(F.length(n) / least * cut).cast("int")  # edits to any partner in bounds
-        return F.transform(F.sequence(F.lit(0), e), lambda i: F.struct(F.substring(F.col(n), (F.floor(i * F.length(n) / (e + 1)) + 1).cast("int"), (F.floor((i + 1) * F.length(n) / (e + 1)) - F.floor(i * F.length(n) / (e + 1))).cast("int")).alias("p"), (F.floor((i + 1) * F.length(n) / (e + 1)) - F.floor(i * F.length(n) / (e + 1))).cast("int").alias("w")))
+        e = F.floor(F.length(n) * edits + 1e-9).cast("int")  # the product may fall just short of a whole number
+        begin = lambda i: F.floor(i * F.length(n) / (e + 1))
+        return F.transform(F.sequence(F.lit(0), e), lambda i: F.struct(F.substring(F.col(n), (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("p"), (begin(i + 1) - begin(i)).cast("int").alias("w")))
 
     a = left.select(F.col("name").alias("a")).where("a is not null and a <> ''").distinct()
     b = right.select(F.col("name").alias("b")).where("b is not null and b <> ''").distinct()
@@ -83,11 +83,35 @@ def near_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     widths = short.select("w").distinct().agg(F.array_sort(F.collect_set("w")).alias("ws"))  # as many as there are part lengths
     grams = F.flatten(F.transform("ws", lambda w: F.when(F.length("b") >= w, F.transform(F.sequence(F.lit(1), F.length("b") - w + 1), lambda i: F.substring(F.col("b"), i, w))).otherwise(F.array().cast("array<string>"))))
     probe = b.crossJoin(F.broadcast(widths)).select("b", F.explode(F.array_distinct(grams)).alias("p"))  # one row
-    pairs = short.join(probe, "p").where(F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b"))).select("a", "b").distinct()
+    return short.join(probe, "p").where(F.greatest(F.length("a"), F.length("b")) <= longer * F.least(F.length("a"), F.length("b")) + 1e-9).select("a", "b").distinct()
+
+
+def near_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Best ``right.name`` for each ``left.name`` with at least that similarity, ties by name: name, match, score.
+
+    No pair of that similarity is lost: its lengths differ by a factor of ``1 / least`` at most, and its edits are at most
+    ``1 - least`` of the longer. ``least`` must be above one half.
+    """
+    pairs = _sharing(left, right, (1 - least) / least, 1 / least)
     scored = pairs.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
     return scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select(F.col("a").alias("name"), F.col("m.b").alias("match"), (-F.col("m.s")).alias("score"))
 
 
+def near_blocks(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Every best ``right.name`` for each ``left.name`` by the matching-blocks ratio, at least ``least``: name, match, ratio. Ties stay.
+
+    Blocks are a common subsequence, so a pair of that ratio needs ``(1 - least)`` of both lengths together as insertions and
+    deletions at most, and no more replacements; and its lengths differ by a factor of ``2 / least - 1`` at most. No pair is
+    lost. ``least`` must be above two thirds.
+    """
+    both = F.length("a") + F.length("b")
+    pairs = _sharing(left, right, 2 * (1 - least) / least, 2 / least - 1)
+    near = pairs.where(F.levenshtein("a", "b") <= (1 - least) * both + 1e-9)
+    scored = near.withColumn("ratio", ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+    best = scored.groupBy("a").agg(F.max("ratio").alias("ratio"), F.collect_list(F.struct("ratio", "b")).alias("all"))
+    return best.select(F.col("a").alias("name"), F.explode(F.filter("all", lambda x: x["ratio"] == F.col("ratio"))["b"]).alias("match"), "ratio")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Matching-blocks ratio of two texts."""
 

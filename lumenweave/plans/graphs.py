@@ -177,9 +177,9 @@ def _(s, d):
 @query("j13_block_ratio")
 def _(s, d):
     a = table(s, d, TR).select(F.lower(F.trim("merged_umls_label")).alias("name"))
-    b = table(s, d, "umls_concepts").where("ispref = 'Y'").select(F.lower("str").alias("name"))
-    near = L.near_strings(a, b, 0.85)
-    return near.select("name", "match", F.round(L.ratio(F.col("name"), F.col("match")), 6).alias("ratio"))
+    b = table(s, d, "umls_concepts").select(F.lower("str").alias("name"))
+    return L.near_blocks(a, b, 0.85).withColumn("ratio", F.round("ratio", 6))
+
 
 
 @query("j14_title_similarity", f"with m as (select regexp_extract(pmid, '([1-9][0-9]*)', 1) k, meta_row_id i, lower(title) t from {META} where title is not null) select a.i as row_a, b.i as row_b, round(1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)), 6) as score from m a join m b on a.k = b.k and a.i < b.i where 1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)) >= 0.9")

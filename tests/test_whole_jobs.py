@@ -1,8 +1,12 @@
 """Queries over every row and value of their tables."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 
 from lumenweave.operators import classify as K
+from lumenweave.operators import linking as L
 from lumenweave.plans.catalogue import ORACLES, QUERIES
 
 
@@ -92,3 +96,27 @@ def test_f30_gives_every_age(spark, tmp_path):
     save(spark, tmp_path, "documents", rows, "doc_id bigint, text string")
     want = {(1, 1, 2, "young"), (1, 2, 10, "adult"), (1, 3, 104, "aged"), (1, 4, 13, "adult"), (4, 1, None, None), (4, 2, 1, "young")}
     assert both(spark, tmp_path, "f30_every_age") == want
+
+
+def test_j12_and_j13_lose_no_pair(spark, tmp_path):
+    schema = "name string"
+    left = spark.createDataFrame([("fvbn",), ("abcdefgh",), ("xy",)], schema)
+    right = spark.createDataFrame([("fvb/n",), ("abcd-efg-h",), ("zz",)], schema)
+    assert {tuple(r) for r in L.near_strings(left, right, 0.8).collect()} == {("fvbn", "fvb/n", 0.8), ("abcdefgh", "abcd-efg-h", 0.8)}
+    save(spark, tmp_path, "translation_table_drug_disease_full", [("Abcdefghijkl ",), ("nothing",), (None,)], "merged_umls_label string")
+    names = [("abcdefghijklwxyz", "N"), ("wxyzabcdefghijkl", "Y"), ("abcdefghijzzzz", "Y")]
+    save(spark, tmp_path, "umls_concepts", names, "str string, ispref string")
+    want = {("abcdefghijkl", "abcdefghijklwxyz", 0.857143), ("abcdefghijkl", "wxyzabcdefghijkl", 0.857143)}
+    assert both(spark, tmp_path, "j13_block_ratio") == want
+
+
+def test_near_blocks_is_exact(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 14)))
+    left, right = {word() for _ in range(150)}, {word() for _ in range(150)}
+    df = lambda x: spark.createDataFrame([(w,) for w in x], "name string")
+    want = set()
+    for a in left:
+        scores = {b: SequenceMatcher(None, a, b).ratio() for b in right}
+        want |= {(a, b) for b, r in scores.items() if r >= 0.75 and r == max(scores.values())}
+    assert {(r.name, r.match) for r in L.near_blocks(df(left), df(right), 0.75).collect()} == want
