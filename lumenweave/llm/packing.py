@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,6 @@ CAPACITY = 2048
 GROUP = 20_000
 #: Containers filled less than this share are packed anew across groups.
 DISSOLVE = 0.97
-#: Times that the search may go over all containers that are not full.
-ROUNDS = 8
 BINS = 1 << 20
 
 
@@ -60,6 +58,7 @@ class Search:
         self.fill = [sum(self.sizes[i] for i in b) for b in bins]
         self.at: dict[int, set[int]] = {}  # free units -> containers
         self.has: dict[int, dict[int, int]] = {}  # size -> containers with such an item and how many
+        self.mask = 0  # bit s: some container has an item of size s
         for b, f in enumerate(self.fill):
             if f < capacity:
                 self._enter(b)
@@ -69,6 +68,7 @@ class Search:
         for i in self.bins[b]:
             own = self.has.setdefault(self.sizes[i], {})
             own[b] = own.get(b, 0) + 1
+            self.mask |= 1 << self.sizes[i]
 
     def _leave(self, b: int) -> None:
         free = self.capacity - self.fill[b]
@@ -80,6 +80,8 @@ class Search:
             own[b] -= 1
             if not own[b]:
                 del own[b]
+                if not own:
+                    self.mask &= ~(1 << self.sizes[i])
 
     def _take(self, b: int, size: int) -> int:
         k = next(k for k, i in enumerate(self.bins[b]) if self.sizes[i] == size)
@@ -114,27 +116,35 @@ class Search:
                     if self.capacity - f + s > mine:
                         self._exchange(donor, [i], min(self.at[f]), None)
                         return True
-        sizes = {self.sizes[i]: i for i in items}
-        pairs = {}
-        order = [i for i in items if self.sizes[i] > 0][:32]
-        for x in range(len(order)):
-            for y in range(x + 1, len(order)):
-                pairs.setdefault(self.sizes[order[x]] + self.sizes[order[y]], [order[x], order[y]])
-        offers = [(s, [i]) for s, i in sizes.items() if s > 0] + list(pairs.items())
+        by: dict[int, list[int]] = {}
+        for i in items:
+            if self.sizes[i] > 0:
+                by.setdefault(self.sizes[i], []).append(i)
+        pairs: dict[int, list[int]] = {}
+        order = list(by)  # every size of the donor; a sum needs one pair only
+        for x, a in enumerate(order):
+            if len(by[a]) > 1:
+                pairs.setdefault(2 * a, by[a][:2])
+            for b in order[x + 1 :]:
+                pairs.setdefault(a + b, [by[a][0], by[b][0]])
+        offers = [({s: own[:1] for s, own in by.items()}), pairs]
+        masks = [sum(1 << s for s in give) for give in offers]
         for gain in range(min(most, mine), 0, -1):
-            for s, give in offers:
-                back = s - gain
-                own = self.has.get(back) if back > 0 else None
-                if not own:
-                    continue
-                for other in own:
-                    if self.capacity - self.fill[other] >= gain and self.fill[other] + gain > mine:
-                        self._exchange(donor, give, other, back)
-                        return True
+            backs = (self.mask & ~1) << gain
+            for give, mask in zip(offers, masks):
+                hits = mask & backs
+                while hits:
+                    s = hits.bit_length() - 1
+                    hits ^= 1 << s
+                    for other in self.has[s - gain]:
+                        if self.capacity - self.fill[other] >= gain and self.fill[other] + gain > mine:
+                            self._exchange(donor, give[s], other, s - gain)
+                            return True
         return False
 
-    def run(self, rounds: int = ROUNDS) -> list[list[int]]:
-        for _ in range(rounds):
+    def run(self, rounds: int | None = None) -> list[list[int]]:
+        """Goes over all containers that are not full until a round empties none, or so many times."""
+        for _ in count() if rounds is None else range(rounds):
             todo = sorted((b for own in self.at.values() for b in own), key=lambda b: self.fill[b])
             gone = 0
             for donor in todo:
@@ -160,7 +170,7 @@ class Search:
         return [b for b in self.bins if b]
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_sizes(sizes: np.ndarray, capacity: int, rounds: int | None = None) -> list[list[int]]:
     """Places of the items in each container; every item once, no container beyond its capacity."""
     sizes = np.asarray(sizes, np.int64)
     return Search(sizes, best_fit(sizes, capacity), capacity).run(rounds)

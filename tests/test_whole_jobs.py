@@ -4,7 +4,9 @@ import random
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
 
+from lumenweave.llm.packing import Search
 from lumenweave.operators import classify as K
 from lumenweave.operators import linking as L
 from lumenweave.plans.catalogue import ORACLES, QUERIES
@@ -120,3 +122,11 @@ def test_near_blocks_is_exact(spark):
         scores = {b: SequenceMatcher(None, a, b).ratio() for b in right}
         want |= {(a, b) for b, r in scores.items() if r >= 0.75 and r == max(scores.values())}
     assert {(r.name, r.match) for r in L.near_blocks(df(left), df(right), 0.75).collect()} == want
+
+
+def test_p8_tries_every_pair():
+    donor, other = [41] + [10] * 32 + [3, 4], [7 - 2] + [1000]
+    sizes = donor + other
+    search = Search(sizes=np.array(sizes), bins=[list(range(len(donor))), [len(donor), len(donor) + 1]], capacity=1007)
+    search._leave(0)
+    assert search._step(0) and search.fill[1] == 1007 and {sizes[i] for i in search.bins[1]} == {3, 4, 1000}
