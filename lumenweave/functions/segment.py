@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import ahocorasick
 
+from lumenweave.functions.text import SPACE
+
 # How values are listed. A hard separator never stands inside a name; a soft one may.
 HARD = "|¦｜;；\n\r\t\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SOFT = r"\s*[,，、]\s*(?:(?:and|&)\s+)?|\s+/\s+|/|\s+(?:and|&|\+)\s+"
@@ -22,7 +24,9 @@ KNOWN, UNKNOWN, DANGLING = 1, 8, 30
 JOIN, SPLIT_AFTER_HARD, BARE_SLASH, IMPOSSIBLE = 12, 20, 3, 10_000
 
 #: A cell matching this may hold several values; any other holds one at most. Java and Python read it alike.
-MAYBE_MANY = r'[|¦｜;；,，、/&+"“”„«»‟\[\]{}\n\r\t\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]|\sand\s|\d[.)]\s'
+MAYBE_MANY = r'[|¦｜;；,，、/&+"“”„«»‟\[\]{}\n\r\t\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]' + rf"|{SPACE}and{SPACE}|\d[.)]{SPACE}"
+#: Ids listed with blanks only.
+MAYBE_IDS = rf"\d{SPACE}+-?\w"
 
 
 def squeeze(text: str) -> tuple[str, list[int]]:
@@ -213,13 +217,23 @@ class Segmenter:
         ends.append(len(text))
         n = len(starts)
         known = self._known_spans(text, low, at, starts, ends)
+        long: dict[int, list[int]] = {}  # ends of known values of more than eight pieces, with their beginnings
+        for i, j in known:
+            if j - i > 8:
+                long.setdefault(j, []).append(i)
         best: list[tuple[int, int]] = [(0, 0)] + [(IMPOSSIBLE * IMPOSSIBLE, 0)] * n
         for j in range(1, n + 1):
-            for i in range(j - 1, max(-1, j - 9), -1):
+            run = j - 1  # bare slashes part the pieces from here on
+            while run and kinds[run - 1] == "slash":
+                run -= 1
+            for i in [*range(j - 1, max(-1, j - 9), -1), *range(j - 9, run - 1, -1), *(i for i in long.get(j, ()) if i < run)]:
                 inner = kinds[i : j - 1]
                 if "hard" in inner and (i, j) not in known:
-                    break
-                cost = best[i][0] + self._cost(text, starts, ends, i, j, inner, (i, j) in known, hard)
+                    continue
+                if j - i > 8:
+                    cost = best[i][0] + (KNOWN if (i, j) in known else UNKNOWN)
+                else:
+                    cost = best[i][0] + self._cost(text, starts, ends, i, j, inner, (i, j) in known, hard)
                 if i:
                     left = kinds[i - 1]
                     if left == "slash":

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.functions.segment import MAYBE_MANY, Segmenter
+from lumenweave.functions.segment import MAYBE_IDS, MAYBE_MANY, Segmenter
 from lumenweave.functions.text import strip
 
 #: Most entries a dictionary may have. It is sent to every worker, so its size is checked; 500,000 names take about 300 MB.
@@ -55,7 +55,7 @@ def values(cell: Column, known: list[str]) -> Column:
 
     bare = strip(cell)
     nothing = bare.isNull() | F.lower(bare).isin("", "nan", "-1")
-    maybe = bare.rlike(MAYBE_MANY + r"|\d\s+-?\w")
+    maybe = bare.rlike(MAYBE_MANY + "|" + MAYBE_IDS)
     many = cut(F.when(maybe & ~nothing, cell))
     return F.when(nothing, F.array().cast("array<string>")).when(maybe, many).otherwise(F.array(bare))
 
@@ -70,7 +70,7 @@ def unpack(df: DataFrame, row_id: str, field: str, known: list[str], least: int
     cell = F.col(f"`{field}`")
     rows = df.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), cell.alias("cell"))
     if least > 1:
-        rows = rows.where(F.col("cell").rlike(MAYBE_MANY + r"|\d\s+-?\w"))
+        rows = rows.where(F.col("cell").rlike(MAYBE_MANY + "|" + MAYBE_IDS))
     cut = rows.select("row_id", values(F.col("cell"), known).alias("items")).where(F.size("items") >= least)
     return cut.select(
         F.lit(source).alias("src_table"),

@@ -6,9 +6,11 @@ from difflib import SequenceMatcher
 import duckdb
 import numpy as np
 
+from lumenweave.functions.segment import Segmenter
 from lumenweave.llm.packing import Search
 from lumenweave.operators import classify as K
 from lumenweave.operators import linking as L
+from lumenweave.operators.unpack import unpack
 from lumenweave.plans.catalogue import ORACLES, QUERIES
 
 
@@ -130,3 +132,17 @@ def test_p8_tries_every_pair():
     search = Search(sizes=np.array(sizes), bins=[list(range(len(donor))), [len(donor), len(donor) + 1]], capacity=1007)
     search._leave(0)
     assert search._step(0) and search.fill[1] == 1007 and {sizes[i] for i in search.bins[1]} == {3, 4, 1000}
+
+
+def test_p3_covers_long_values_and_unicode_blanks(spark):
+    long, bars = "a, b, c, d, e, f, g, h, i, j, k", "1|2|3|4"
+    segment = Segmenter([long, bars, "plain"]).segment
+    assert list(segment(f"{long}, plain")) == [long, "plain"]
+    assert list(segment(f"plain; {bars}")) == ["plain", bars]
+    path = "/".join("abcdefghijkl")
+    assert list(segment(path)) == [path]
+    cells = [(1, "plain\u00a0and\u2003other"), (2, "1.\u00a0plain\u00a02.\u2003other"), (3, "MONDO:1\u2003MONDO:2"), (4, "MONDO:1\u00a0-1")]
+    got = unpack(spark.createDataFrame(cells, "id bigint, cell string"), "id", "cell", ["plain", "other"], 2)
+    names = ["plain", "other"]
+    want = {1: names, 2: names, 3: ["MONDO:1", "MONDO:2"], 4: ["MONDO:1", "-1"]}
+    assert {(r.row_id, r.pos, r.item_text) for r in got.collect()} == {(i, k + 1, x) for i, xs in want.items() for k, x in enumerate(xs)}
