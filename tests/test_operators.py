@@ -29,9 +29,54 @@ def test_classifiers(spark):
     assert one(spark, K.welfare, "approved by the Animal Committee", "approved by patients", "x") == [1, 0, 0]
     assert one(spark, K.age_mention, "8 weeks", "adult rats", "x") == [1, 1, 0]
     assert one(spark, K.sex, "animals of both sexes", "female rats", "male and female mice", "female patients", None) == ["sex-both", "sex-female", "sex-both", "sex-not-reported", "sex-not-reported"]
-    assert K.species_of("rat and mice feed") == ["species-other"] and K.species_of("Laboratory Rabbit Diet") == ["species-other"]
-    assert K.species_of("guinea pigs and rats") == ["rat", "guinea pig"]
-    assert K.species_of("mouse monoclonal antibody") == ["species-other"]
+
+
+SENTENCES = {
+    "rat and mice feed": ["species-other"],
+    "Laboratory Rabbit Diet": ["species-other"],
+    "guinea pigs and rats": ["rat", "guinea pig"],
+    "mouse monoclonal antibody": ["species-other"],
+    "Guinea pigs were kept. Other guinea pigs were fed.": ["guinea pig"],
+    "no rats were used but a dog was": ["dog"],
+    "It was not a rat but the mice ran.": ["mouse"],
+    "cells isolated from rats one two three four five six seven eight nine ten eleven twelve thirteen fourteen; later rats ran": ["rat"],
+    "Cat. # 12345 and the CAT assay": ["species-other"],
+    "worn by a domestic cat near cats": ["cat"],
+    "the squirrel monkeys and swine": ["monkey", "pig"],
+    "Mice. J Neurosci 12 (3), 1999, 145-150": ["species-other"],
+    "rabbit-anti-human factor in rats": ["species-other"],
+    "ratschlag": ["species-other"],
+    "RATS\nMICE": ["mouse", "rat"],
+    "": ["species-other"],
+    None: ["species-other"],
+}
+
+
+def test_species(spark):
+    assert one(spark, K.species, *SENTENCES) == list(SENTENCES.values())
+    long = "word " * 20_000 + "rats " * 2_000 + "antibody"
+    assert one(spark, K.species, long) == [["rat"]]
+
+
+def test_sex_looks_at_the_first_hit_of_each_pattern(spark):
+    far = " ".join(["word"] * 12)
+    cases = {
+        "female patients; later the female rats": "sex-not-reported",
+        f"females {far} patients": "sex-female",
+        f"females {' '.join(['word'] * 11)} patients": "sex-not-reported",
+        "females versus males": "sex-not-reported",
+        "mothers and brothers": "sex-both",
+        "rats of either sex": "sex-both",
+        "pregnan mice": "sex-female",
+        "Males\nonly": "sex-male",
+    }
+    assert one(spark, K.sex, *cases) == list(cases.values())
+
+
+def test_numbers_in_animal_context(spark):
+    df = spark.createDataFrame([(1, "In all 12 rats died. Of 12 patients none. 120 x", "n = 12, 12"), (2, None, "3"), (3, "a 7 (b", "7 (b"), (4, "all animals: 5", "5")], "id int, text string, n string")
+    got = {(r.id, r.value, r.context, r.species, r.animal) for r in K.number_contexts(df, ["id"], "text", "n", 10).collect()}
+    assert got == {(1, "12", "in all 12 rats died", "rat", True), (1, "12", "died. of 12 patients", "species-other", False), (3, "7 (b", "a 7 (b", "species-other", False), (4, "5", " animals: 5", "species-other", True)}
 
 
 def test_document_rules(spark):
