@@ -23,8 +23,11 @@ NO_CELL = {"", "nan", "-1"}
 KNOWN, UNKNOWN, DANGLING = 1, 8, 30
 JOIN, SPLIT_AFTER_HARD, BARE_SLASH, IMPOSSIBLE = 12, 20, 3, 10_000
 
-#: A cell matching this may hold several values; any other holds one at most. Java and Python read it alike.
-MAYBE_MANY = r'[|¦｜;；,，、/&+"“”„«»‟\[\]{}\n\r\t\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]' + rf"|{SPACE}and{SPACE}|\d[.)]{SPACE}"
+#: A cell matching one of these may hold several values; any other holds one at most. Java and Python read them alike. Hard separators
+#: part values wherever they stand; what the second finds takes the automaton.
+MAYBE_HARD = r"[|¦｜;；\n\r\t\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+MAYBE_MORE = r'[,，、/&+"“”„«»‟\[\]{}]' + rf"|{SPACE}and{SPACE}|\d[.)]{SPACE}"
+MAYBE_MANY = f"{MAYBE_HARD}|{MAYBE_MORE}"
 #: Ids listed with blanks only.
 MAYBE_IDS = rf"\d{SPACE}+-?\w"
 
@@ -71,6 +74,7 @@ class Segmenter:
         if self.names:
             self.automaton.make_automaton()
         self.tails = self._tails()
+        self.widest = max((len(re.findall(SOFT, t)) for t in self.tails), default=0)
         self._soft = re.compile(SOFT)
         self.segment = lru_cache(maxsize=cache)(self._segment)
 
@@ -217,31 +221,44 @@ class Segmenter:
         ends.append(len(text))
         n = len(starts)
         known = self._known_spans(text, low, at, starts, ends)
-        long: dict[int, list[int]] = {}  # ends of known values of more than eight pieces, with their beginnings
-        for i, j in known:
-            if j - i > 8:
-                long.setdefault(j, []).append(i)
+        ending: dict[int, list[int]] = {}  # beginnings of the known values that end before a place, last first
+        for i, j in sorted(known, reverse=True):
+            ending.setdefault(j, []).append(i)
+        bare = [normal(text[a:b].strip().strip(STRAY)) for a, b in zip(starts, ends)]
         best: list[tuple[int, int]] = [(0, 0)] + [(IMPOSSIBLE * IMPOSSIBLE, 0)] * n
+
+        def left(i: int, is_known: bool) -> int:
+            """What it costs to begin a value at piece ``i``."""
+            if not i or kinds[i - 1] == "hard":
+                return 0
+            if kinds[i - 1] == "slash":
+                return BARE_SLASH if is_known else JOIN
+            return SPLIT_AFTER_HARD if hard and not (is_known and (best[i][1], i) in known) else 0
+
         for j in range(1, n + 1):
-            run = j - 1  # bare slashes part the pieces from here on
-            while run and kinds[run - 1] == "slash":
-                run -= 1
-            for i in [*range(j - 1, max(-1, j - 9), -1), *range(j - 9, run - 1, -1), *(i for i in long.get(j, ()) if i < run)]:
-                inner = kinds[i : j - 1]
-                if "hard" in inner and (i, j) not in known:
-                    continue
-                if j - i > 8:
-                    cost = best[i][0] + (KNOWN if (i, j) in known else UNKNOWN)
+            joins, some, i = 0, False, j - 1
+            while i >= 0:  # values of pieces i to j - 1, as long as they may still be the cheapest
+                if i < j - 1:
+                    if kinds[i] == "hard":
+                        break
+                    if not (kinds[i] == "slash" or hard or bare[i + 1] in self.tails or (j - i - 2 <= self.widest and normal(text[starts[i + 1] : ends[j - 1]]) in self.tails)):
+                        joins += JOIN
+                    if joins > JOIN * (1 + self.widest):  # a cut there would be cheaper, but for separators inside a tail
+                        break
+                some = some or bool(bare[i])
+                if (i, j) in known:
+                    cost = KNOWN
+                elif i == j - 1:
+                    cost = 0 if not some else DANGLING if i and bare[i] in self.tails else UNKNOWN
                 else:
-                    cost = best[i][0] + self._cost(text, starts, ends, i, j, inner, (i, j) in known, hard)
-                if i:
-                    left = kinds[i - 1]
-                    if left == "slash":
-                        cost += BARE_SLASH if (i, j) in known else JOIN
-                    elif left == "soft" and hard and not ((i, j) in known and (best[i][1], i) in known):
-                        cost += SPLIT_AFTER_HARD
+                    cost = UNKNOWN + joins if some else IMPOSSIBLE
+                cost += best[i][0] + left(i, (i, j) in known)
                 if cost < best[j][0]:
                     best[j] = (cost, i)
+                i -= 1
+            for k in ending.get(j, ()):
+                if k <= i and (cost := best[k][0] + KNOWN + left(k, True)) < best[j][0]:
+                    best[j] = (cost, k)
         out, j = [], n
         while j:
             i = best[j][1]
@@ -257,22 +274,6 @@ class Segmenter:
                 flat.append(v)
         return flat
 
-    def _cost(self, text: str, starts: list[int], ends: list[int], i: int, j: int, inner: list[str], is_known: bool, hard: bool) -> int:
-        if is_known:
-            return KNOWN
-        value = normal(text[starts[i] : ends[j - 1]].strip().strip(STRAY))
-        if not value:
-            return 0 if j == i + 1 else IMPOSSIBLE
-        cost = UNKNOWN
-        if j == i + 1 and i and value in self.tails:
-            cost = DANGLING
-        for k in range(i + 1, j):
-            tail, to_end = normal(text[starts[k] : ends[k]]), normal(text[starts[k] : ends[j - 1]])
-            if inner[k - i - 1] == "slash" or tail in self.tails or to_end in self.tails or hard:
-                continue
-            cost += JOIN
-        return cost
-
     def _known_spans(self, text: str, low: str, at: list[int], starts: list[int], ends: list[int]) -> set[tuple[int, int]]:
         """Pairs (i, j) such that the pieces i to j - 1 together spell a known value."""
         if not self.names:

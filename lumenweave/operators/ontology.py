@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 
 from lumenweave.session import written
 
-#: Levels after which a graph is taken to have a cycle.
-MOST_LEVELS = 64
-
-
 def edges(terms: DataFrame, node: str = "id", parents: str = "parents") -> DataFrame:
     return terms.select(F.col(node).alias("child"), F.explode(parents).alias("parent")).where("child is not null and parent is not null and child <> parent").distinct()
 
 
-def closure(links: DataFrame) -> DataFrame:
+def closure(links: DataFrame, cycles: str = "raise") -> DataFrame:
     """Every ancestor of every node with the least number of hops: node, ancestor, hops.
 
-    Breadth first: each level joins the last one with the links and keeps what is new. Each level is written to the shared
-    folder, so its lineage is one step long. Nodes in a cycle end as soon as nothing new comes.
+    Paths double in length each round (those known are joined with themselves), so a graph of any depth takes the logarithm of its
+    depth in rounds; each is written to the shared folder, and the last is the one that changes nothing. A cycle raises ValueError, or, if
+    ``cycles`` is ``keep``, its nodes are ancestors of each other, but never of themselves.
     """
-    found = written(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops")), "closure")
-    level = found
-    for hops in range(2, MOST_LEVELS):
-        step = level.join(links, level["ancestor"] == links["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        new = step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").where("node <> ancestor")
-        level = written(new.withColumn("hops", F.lit(hops)), "closure")
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+    step = links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
+    found, before = written(step, "closure"), None
+    while True:
+        state = found.agg(F.count("*").alias("n"), F.sum("hops").alias("hops"), F.max(F.col("node") == F.col("ancestor")).alias("cycle")).first()
+        if state["cycle"] and cycles == "raise":
+            raise ValueError("the links have a cycle")
+        if (state["n"], state["hops"]) == before:
+            return found.where("node <> ancestor")
+        before = (state["n"], state["hops"])
+        upper = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("hops").alias("more"))
+        longer = found.join(upper, "ancestor").select("node", F.col("top").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops"))
+        found = written(found.union(longer).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")), "closure")
+
+
+def root_of(links: DataFrame) -> str | None:
+    """The node without parents that the most links end at; of several the least id. One row is collected."""
+    tops = links.groupBy(F.col("parent").alias("node")).count().join(links.select(F.col("child").alias("node")), "node", "left_anti")
+    row = tops.orderBy(F.desc("count"), "node").first()
+    return row["node"] if row else None
 
 
 def depths(ancestors: DataFrame, root: str) -> DataFrame:

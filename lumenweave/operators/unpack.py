@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.functions.segment import MAYBE_IDS, MAYBE_MANY, Segmenter
+from lumenweave.functions.segment import HARD, MAYBE_HARD, MAYBE_IDS, MAYBE_MANY, MAYBE_MORE, Segmenter
 from lumenweave.functions.text import strip
 
 #: Most entries a dictionary may have. It is sent to every worker, so its size is checked; 500,000 names take about 300 MB.
@@ -44,7 +44,8 @@ def _segmenter(known: list[str]) -> Segmenter:
 def values(cell: Column, known: list[str]) -> Column:
     """The values of a cell, in order and as written, as ARRAY<STRING>; empty for a cell without a value.
 
-    Cells that can't hold two values don't leave the JVM: Python gets null in their place.
+    Cells that can't hold two values don't leave the JVM, nor do those that only hard separators part, if no known value holds one; Python
+    gets null in their place.
     """
 
     @F.pandas_udf("array<string>")
@@ -56,8 +57,13 @@ def values(cell: Column, known: list[str]) -> Column:
     bare = strip(cell)
     nothing = bare.isNull() | F.lower(bare).isin("", "nan", "-1")
     maybe = bare.rlike(MAYBE_MANY + "|" + MAYBE_IDS)
-    many = cut(F.when(maybe & ~nothing, cell))
-    return F.when(nothing, F.array().cast("array<string>")).when(maybe, many).otherwise(F.array(bare))
+    if any(c in HARD for name in known for c in name):
+        return F.when(nothing, F.array().cast("array<string>")).when(maybe, cut(F.when(maybe & ~nothing, cell))).otherwise(F.array(bare))
+    more = bare.rlike(MAYBE_MORE + "|" + MAYBE_IDS)
+    pieces = F.filter(F.transform(F.split(bare, MAYBE_HARD), strip), lambda x: x != "")
+    one = F.filter(F.array(F.get(pieces, F.lit(0))), lambda x: ~F.lower(x).isin("nan", "-1"))
+    plain = F.when(bare.rlike(MAYBE_HARD), F.when(F.size(pieces) < 2, F.filter(one, lambda x: x.isNotNull())).otherwise(pieces)).otherwise(F.array(bare))
+    return F.when(nothing, F.array().cast("array<string>")).when(more, cut(F.when(more & ~nothing, cell))).otherwise(plain)
 
 
 def unpack(df: DataFrame, row_id: str, field: str, known: list[str], least: int = 1, source: str | None = None) -> DataFrame:

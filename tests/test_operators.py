@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenweave.functions import biology as B
@@ -13,6 +14,7 @@ from lumenweave.operators import linking as L
 from lumenweave.operators import ontology as G
 from lumenweave.operators import relational as R
 from lumenweave.operators import translation as T
+from lumenweave.operators.skew import split_join
 from lumenweave.sources import files as S
 from lumenweave.sources.sections import from_html, from_plain, from_xml
 
@@ -115,12 +117,32 @@ def test_relational(spark):
 
 
 def test_graph(spark):
-    links = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "x"), ("x", "a"), ("e", "e2"), ("a", "r"), ("p", "q"), ("q", "p")], "child string, parent string")
+    links = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "x"), ("x", "a"), ("e", "e2"), ("a", "r")], "child string, parent string")
     up = G.closure(links)
     got = {(r.node, r.ancestor): r.hops for r in up.collect()}
-    assert got["d", "a"] == 2 and got["d", "r"] == 3 and ("e", "r") not in got and got["p", "q"] == 1 and ("p", "p") not in got
+    assert got["d", "a"] == 2 and got["d", "r"] == 3 and ("e", "r") not in got
     groups = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "b")], "grp int, node string")
     assert {tuple(r) for r in G.lowest_common(up, groups, G.depths(up, "r")).collect()} == {(1, "a"), (2, "b")}
+    ring = links.union(spark.createDataFrame([("p", "q"), ("q", "p")], links.schema))
+    with pytest.raises(ValueError):
+        G.closure(ring)
+    kept = {(r.node, r.ancestor): r.hops for r in G.closure(ring, cycles="keep").collect()}
+    assert kept["p", "q"] == 1 and ("p", "p") not in kept and kept["d", "r"] == 3
+    assert G.closure(links.limit(0)).count() == 0 and G.root_of(links) == "r" and G.root_of(links.limit(0)) is None
+
+
+def test_deep_graph(spark):
+    chain = spark.range(200).selectExpr("string(id) as child", "string(id + 1) as parent")
+    up = G.closure(chain)
+    assert up.count() == 200 * 201 // 2 and up.where("node = '0' and ancestor = '200'").first().hops == 200
+
+
+def test_split_join(spark):
+    left = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', string(id)) as k", "id as v")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("1", 3), ("none", 4)], "k string, w int")
+    counted = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(map(str, split_join(left, right, ["k"], counted, how).collect())) == sorted(map(str, left.join(right, "k", how).collect())), how
 
 
 def test_nearest_is_exact(spark):

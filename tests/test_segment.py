@@ -70,6 +70,14 @@ def test_squeeze_keeps_places():
     assert low == "a b" and [("A \xa0B")[i] for i in at] == ["A", " ", "B"]
 
 
+def test_values_of_many_pieces():
+    names = ["a, b, c, d, e, f, g, h, i, j, k, l, m, n, o, p, q, r, s, t", "mouse", "x, early", "y, early", "x, late", "y, late"]
+    cut = Segmenter(names).segment
+    assert cut(names[0]) == (names[0],) and cut(f"{names[0]} | mouse") == (names[0], "mouse") and cut(f"mouse, {names[0]}") == ("mouse", names[0])
+    assert cut("z" + ", early, late" * 6) == ("z" + ", early, late" * 6,)
+    assert len(cut(", ".join(f"u{i}" for i in range(3000)))) == 3000
+
+
 def test_long_cell():
     assert len(S.segment("|".join(["alpha, type 1"] * 5000))) == 5000
 
