@@ -14,7 +14,7 @@ from lumenweave.llm.split_overlap import SplitOverlap
 from lumenweave.llm.term_counts import TermCounts, records
 from lumenweave.llm.tokenizing import encode
 from lumenweave.plans.training import ENTITIES, disease_names, drug_names
-from lumenweave.session import table
+from lumenweave.session import fresh_path, table
 
 NER = "drug_disease_ner"
 TRANSLATION = "translation_table_drug_disease_full"
@@ -29,8 +29,15 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences, articles and mark of every disease and drug term."""
-    return TermCounts(spark).apply(records(_entities(spark, sf_dir), "article", _fields(spark, sf_dir))).counts()
+    """Occurrences, articles and mark of every disease and drug term: a state built by deltas, the rows of all loads but the last year's first.
+
+    The state is new for each run, as the tables of a run are. One kept from run to run takes the later deltas alone.
+    """
+    rows, fields = _entities(spark, sf_dir), _fields(spark, sf_dir)
+    last = rows.agg(F.max(F.year("loaded_at")).alias("y"))  # one row
+    split = rows.crossJoin(F.broadcast(last)).withColumn("late", F.coalesce(F.year("loaded_at") >= F.col("y"), F.lit(True)))
+    kept = TermCounts(spark, fresh_path(spark, "term-counts")).apply(records(split.where("not late"), "article", fields), "base")
+    return kept.apply(records(split.where("late"), "article", fields), "last year").counts()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,25 +45,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts by three deltas: rows before 2022, the later ones, then rows of 2020 taken out and put back."""
+    """The same counts by three deltas: rows before 2022, the later ones, then rows of 2020 taken out and put back; one comes twice."""
     rows, fields = _entities(spark, sf_dir), _fields(spark, sf_dir)
     late, mid = F.coalesce(F.year("loaded_at") >= 2022, F.lit(True)), F.coalesce(F.year("loaded_at") == 2020, F.lit(False))
-    kept = TermCounts(spark).apply(records(rows.where(~late), "article", fields))
-    kept.apply(records(rows.where(late), "article", fields).union(records(rows.where(mid), "article", fields, -1)))
-    return kept.apply(records(rows.where(mid), "article", fields)).counts()
+    kept = TermCounts(spark, fresh_path(spark, "term-counts")).apply(records(rows.where(~late), "article", fields), "a")
+    second = records(rows.where(late), "article", fields).union(records(rows.where(mid), "article", fields, -1))
+    return kept.apply(second, "b").apply(second, "b").apply(records(rows.where(mid), "article", fields), "c").counts()
 
 
 def p4_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, marginals, lift and log-likelihood ratio of every pair of drug and disease."""
     one = cooccurrence.pair_records(table(spark, sf_dir, TRANSLATION), "batch_id", "normalized_key", "merged_umls_label", "merged_mondo_label", "preclinical_count")
-    found = cooccurrence.associations(one, "drug", "disease", "n")
+    found = cooccurrence.associations(one, "batch", "drug", "disease", "n")
     return found.select(F.col("item").alias("merged_umls_label"), F.col("other").alias("merged_mondo_label"), "n", "u", "d", "t", F.round("lift", 4).alias("lift"), F.round("llr", 3).alias("llr"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = {c: F.col(c).cast("decimal(19,0)") for c in "nutd"}
-    strong = (F.col("n") >= 20) & (wide["n"] * wide["t"] >= 4 * wide["u"] * wide["d"])
-    return p4_associations(spark, sf_dir).where(strong).select("merged_umls_label", "merged_mondo_label")
+    return cooccurrence.strong(p4_associations(spark, sf_dir), 20, 4).select("merged_umls_label", "merged_mondo_label")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
