@@ -87,6 +87,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir).report()
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its class and its number of links; copies are not expanded into pairs."""
+    return _overlap(spark, sf_dir).membership()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k; an empty list for null and empty texts."""
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
@@ -128,6 +133,7 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p6_classes": p6_classes,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_summary": p8_summary,

@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.session import spread, written
+from lumenweave.functions.text import SPACE
+from lumenweave.operators.skew import split_join
+from lumenweave.session import written
 
 #: Words in a shingle; records of nine words, where two of five don't fit, take four.
 Q, SHORT_Q, SHORT_N = 5, 4, 9
 #: One edit in that many words of the longer record is allowed.
 PER_EDIT = 10
-#: Sizes of the two tables that are sent to every worker; they don't grow with the data. Both only steer: which shingles
-#: are taken as rare, and which training shingles can be left out as no evaluation record has them.
-DF_BITS, SEEN_BITS = 18, 24
-#: Words beyond which signatures are chosen block by block.
-BLOCK = 1000
+#: Size of the table that orders shingles by rarity, and of the one that says which shingles the index has: by its rows, within these
+#: bounds. Both are sent to every worker and only steer; beyond the upper bound more rows are probed in vain, but none is lost.
+DF_BITS, SEEN_BITS = 18, (16, 27)
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,89 +113,76 @@ def _places(offsets: np.ndarray, q: int, keep: np.ndarray | None = None) -> tupl
     return record, place, offsets[:-1][record] + place
 
 
-def choose(cost: np.ndarray, k: int, q: int) -> list[int]:
-    """Places of ``k`` disjoint shingles of ``q`` words with the least total cost."""
-    size = len(cost) + q - 1
-    if size > BLOCK and k > 1:
-        half = size // 2
-        k1 = min(max(k * half // size, k - (size - half) // q), half // q, k)
-        return choose(cost[: half - q + 1], k1, q) + [half + p for p in choose(cost[half:], k - k1, q)] if 0 < k1 < k else choose_all(cost, k, q)
-    return choose_all(cost, k, q)
-
-
-def choose_all(cost: np.ndarray, k: int, q: int) -> list[int]:
-    n = len(cost)
-    if k <= 0:
-        return []
-    before = np.zeros(n + q)
-    steps = []
-    for _ in range(k):
-        take = before[:n] + cost  # a shingle at i leaves the first i words to the others
-        best = np.minimum.accumulate(take)
-        steps.append(take)
-        before = np.concatenate([np.full(q, np.inf), best])[: n + q]
-    out, limit = [], n
-    for take in reversed(steps):
-        i = int(np.argmin(take[:limit]))
-        out.append(i)
-        limit = max(0, i - q + 1)
-    return out[::-1]
-
-
-def _sides(df: DataFrame, row_id: str, split: str, tokens: str, extra: list[str]) -> DataFrame:
-    """Records of train, dev and test with words: rec_id, split, train, words, text_key and the extra columns."""
-    name = F.lower(F.trim(F.regexp_replace(F.col(split), r"\s+", " ")))
-    few = spread(df.select(F.col(row_id).cast("bigint").alias("rec_id"), name.alias("split"), F.col(tokens).alias("tokens"), *extra))
-    rows = few.withColumn("words", words(F.col("tokens"))).drop("tokens")
-    kept = rows.where(F.col("split").isin("train", "dev", "test") & (F.size("words") > 0))
-    return kept.withColumn("train", F.col("split") == "train").withColumn("text_key", F.unhex(F.md5(F.array_join("words", " "))))
-
-
-def _signature_rows(batches: Iterator[pa.RecordBatch], rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The prefix of each evaluation class: one more disjoint shingle than there can be edits, the rarest possible."""
+def _sides(df: DataFrame, row_id: str, split: str, tokens: str, extra: list[Column]) -> DataFrame:
+    """Records of train, dev and test with words: rec_id, split, train, text_key, ws (hashes of the words) and the extra columns."""
+    name = F.lower(F.trim(F.regexp_replace(F.col(split), f"{SPACE}+", " ")))
+    rows = df.select(F.col(row_id).cast("bigint").alias("rec_id"), name.alias("split"), F.col(tokens).alias("tokens"), *extra).where(F.col("split").isin("train", "dev", "test"))
+    said = rows.withColumn("words", words(F.col("tokens"))).drop("tokens").where(F.size("words") > 0)
+    return said.select("*", (F.col("split") == "train").alias("train"), F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("ws")).drop("words")
+
+
+def prefix(own: np.ndarray, rank: np.ndarray, k: int, q: int) -> np.ndarray:
+    """Places of a record's rarest shingles: so many, in the order of rank and hash, that ``k`` of them don't overlap.
+
+    With ``k`` one more than the edits, no edits within the limit change them all, so a partner has one of them. The last hash is taken with
+    all its places. A record that has no such prefix gives all its shingles.
+    """
+    order = np.lexsort((own, rank))
+    taken = bytearray(len(own) + q - 1)
+    for at, i in enumerate(order.tolist()):
+        if not (taken[i] or taken[i + q - 1]):
+            taken[i : i + q] = b"\1" * q
+            k -= 1
+            if not k:
+                last = own[i]
+                while at + 1 < len(order) and own[order[at + 1]] == last:
+                    at += 1
+                return order[: at + 1]
+    return order
+
+
+def _bits(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """256 bits in four words that say which words a record has; one edit changes at most two of them."""
+    w = flat.view(np.uint64)
+    one = np.uint64(1) << (w & np.uint64(63))
+    part = (w >> np.uint64(6)) & np.uint64(3)
+    zero = np.zeros(1, np.uint64)
+    return [np.bitwise_or.reduceat(np.concatenate([np.where(part == k, one, np.uint64(0)), zero]), offsets[:-1]).view(np.int64) for k in range(4)]
+
+
+PREFIX = "h bigint, pos int, rep bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, bitmap: np.ndarray | None = None, bits: int = 0) -> Iterator[pa.RecordBatch]:
+    """The prefix of each class (rep, ws): a row for each shingle. Of nine and ten words also those of four; ``bitmap`` says which to keep."""
     mask = np.uint64((1 << DF_BITS) - 1)
     for batch in batches:
         flat, offsets = _lists(batch.column("ws"))
-        hashes = {q: _shingles(flat, q) for q in (Q, SHORT_Q)}
+        sizes = np.diff(offsets)
         rec, place, h = [], [], []
-        for i in range(batch.num_rows):
-            n = int(offsets[i + 1] - offsets[i])
-            if n < SHORT_N:
-                continue
-            q = SHORT_Q if n == SHORT_N else Q
-            own = hashes[q][offsets[i] : offsets[i] + n - q + 1]
-            cost = rarity[(own & mask).astype(np.int64)].astype(np.float64) + 1e-3
-            got = choose(cost, most_edits(n) + 1, q)
-            rec += [i] * len(got)
-            place += got
-            h += own[got].view(np.int64).tolist()
-        yield _exploded(batch, np.array(rec, np.int64), np.array(place, np.int32), np.array(h, np.int64))
-
-
-def _exploded(batch: pa.RecordBatch, record: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    names = ["rep", "n", "b0", "b1", "b2", "b3"]
-    index = pa.array(record, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(place, pa.int32()), *(batch.column(c).take(index) for c in names)], names=["h", "pos", *names])
-
-
-SIGNED = "h bigint, pos int, rep bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-
-
-def _bits(ws: Column, part: int) -> Column:
-    """64 of 256 bits that say which words a record has; one edit changes at most two of them."""
-    own = F.filter(ws, lambda w: F.pmod(F.shiftright(w, 6), F.lit(4)) == part)
-    return F.aggregate(own, F.lit(0).cast("bigint"), lambda s, w: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))))
-
-
-def classes(records: DataFrame) -> DataFrame:
-    """One row for each side and different text: train, text_key, rep (least rec_id), ws (hashes of the words), n, bits."""
-    one = records.groupBy("train", "text_key").agg(F.min("rec_id").alias("rep"), F.any_value("words").alias("words"))
-    hashed = one.select("train", "text_key", "rep", F.transform("words", lambda w: F.xxhash64(w)).alias("ws"))
-    return hashed.select("*", F.size("ws").alias("n"), *(_bits(F.col("ws"), k).alias(f"b{k}") for k in range(4)))
+        for q, fit in ((Q, sizes > SHORT_N), (SHORT_Q, (sizes == SHORT_N) | (sizes == SHORT_N + 1))):
+            every = _shingles(flat, q)
+            for i in np.flatnonzero(fit).tolist():
+                own = every[offsets[i] : offsets[i + 1] - q + 1]
+                got = prefix(own, rarity[(own & mask).astype(np.int64)], most_edits(int(sizes[i])) + 1, q)
+                rec.append(np.full(len(got), i, np.int64))
+                place.append(got)
+                h.append(own[got])
+        rec, place, h = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rec, place, h))
+        h = h.astype(np.uint64)
+        if bitmap is not None and len(h):
+            top = h >> np.uint64(64 - bits)
+            hit = np.flatnonzero((bitmap[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
+            rec, place, h = rec[hit], place[hit], h[hit]
+        marks = [b[rec] for b in _bits(flat, offsets)] if batch.num_rows else [np.empty(0, np.int64)] * 4
+        rep = batch.column("rep").to_numpy(zero_copy_only=False)
+        columns = [h.view(np.int64), place.astype(np.int32), rep[rec].astype(np.int64), sizes[rec].astype(np.int32), *marks]
+        for a in range(0, len(rec), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=["h", "pos", "rep", "n", "b0", "b1", "b2", "b3"])
 
 
 def _table(rows: DataFrame, bits: int) -> np.ndarray:
-    """A table of at most 2 ** ``bits`` numbers, from rows (at, n): what is collected doesn't grow with the data."""
+    """A table of at most 2 ** ``bits`` numbers, from rows (at, n): what is collected doesn't grow beyond that."""
     out = np.zeros(1 << bits, np.int64)
     got = rows.toArrow()
     out[got.column("at").to_numpy()] = got.column("n").to_numpy()
@@ -205,10 +192,11 @@ def _table(rows: DataFrame, bits: int) -> np.ndarray:
 def near_classes(kept: DataFrame) -> DataFrame:
     """Pairs of classes of either side, of different text, within the limit: e_rep, t_rep, edits.
 
-    Index: of each evaluation class with up to e edits to any partner, e + 1 disjoint shingles, chosen by the least count in
-    training. An edit touches one of them at most, so a partner has one of them whole, moved by at most e words. Probe: every
-    shingle of training. Length, place and word bits filter in the join; what is left is verified by the exact distance.
-    No link is lost, whatever the counts and tables say.
+    A prefix filter: all shingles have one order, by their count in training and then their hash. The prefix of a record is its rarest
+    shingles up to the first that makes one more of them disjoint than there can be edits (the shortest prefix that so many edits may not
+    change altogether). Of two records within the limit, that with the lesser last shingle has one in common with the other, which then
+    is in the other's prefix too. Index: the prefixes of evaluation classes. Probe: those of training classes. Length, place and word bits
+    filter in the join; what is left is verified by the exact distance. A shingle that many share is split among tasks. No link is lost.
     """
     sc = kept.sparkSession.sparkContext
     held, train = kept.where("not train"), kept.where("train")
@@ -218,39 +206,31 @@ def near_classes(kept: DataFrame) -> DataFrame:
         total = np.zeros(1 << DF_BITS, np.int64)
         for batch in batches:
             flat, offsets = _lists(batch.column("ws"))
-            _, _, where = _places(offsets, Q)
-            total += np.bincount((_shingles(flat, Q)[where] & mask).astype(np.int64), minlength=1 << DF_BITS)
+            for q in (Q, SHORT_Q):
+                keep = None if q == Q else (np.diff(offsets) == SHORT_N) | (np.diff(offsets) == SHORT_N + 1)
+                _, _, where = _places(offsets, q, keep)
+                total += np.bincount((_shingles(flat, q)[where] & mask).astype(np.int64), minlength=1 << DF_BITS)
         some = np.flatnonzero(total)
         for a in range(0, len(some), 50_000):
             part = some[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["at", "n"])
 
     rarity = sc.broadcast(_table(train.select("ws").mapInArrow(tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")), DF_BITS))
-    indexed = written(held.select("rep", "n", "ws", "b0", "b1", "b2", "b3").mapInArrow(lambda bs: _signature_rows(bs, rarity.value), SIGNED), "overlap-index")
-    at = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - SEEN_BITS))
-    seen = sc.broadcast(_table(indexed.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("n")), SEEN_BITS - 6))
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = seen.value.view(np.uint64)
-        for batch in batches:
-            flat, offsets = _lists(batch.column("ws"))
-            sizes = np.diff(offsets)
-            for q, keep in ((Q, None), (SHORT_Q, (sizes >= SHORT_N) & (sizes <= SHORT_N + 1))):
-                record, place, where = _places(offsets, q, keep)
-                h = _shingles(flat, q)[where]
-                top = h >> np.uint64(64 - SEEN_BITS)
-                hit = np.flatnonzero((bitmap[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
-                for a in range(0, len(hit), 50_000):
-                    part = hit[a : a + 50_000]
-                    yield _exploded(batch, record[part], place[part].astype(np.int32), h[part].view(np.int64))
-
-    probing = train.select("rep", "n", "ws", "b0", "b1", "b2", "b3").mapInArrow(probes, SIGNED)
-    e, t = indexed.alias("e"), probing.alias("t")
-    allowed = F.floor(F.greatest(F.col("e.n"), F.col("t.n")) / PER_EDIT)
-    apart = sum((F.bit_count(F.col(f"e.b{k}").bitwiseXOR(F.col(f"t.b{k}"))) for k in range(4)), F.lit(0))
-    near = (F.col("e.h") == F.col("t.h")) & (F.abs(F.col("e.n") - F.col("t.n")) <= allowed) & (F.abs(F.col("e.pos") - F.col("t.pos")) <= allowed) & (apart <= 2 * allowed)
-    candidates = e.join(t, near).select(F.col("e.rep").alias("e_rep"), F.col("t.rep").alias("t_rep")).distinct()
-    full = candidates.join(held.select(F.col("rep").alias("e_rep"), F.col("ws").alias("e_ws")), "e_rep").join(train.select(F.col("rep").alias("t_rep"), F.col("ws").alias("t_ws")), "t_rep")
+    indexed = written(held.select("rep", "ws").mapInArrow(lambda bs: _prefix_rows(bs, rarity.value), PREFIX), "overlap-index")
+    bits = min(SEEN_BITS[1], max(SEEN_BITS[0], (16 * indexed.count()).bit_length()))
+    at = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
+    word = indexed.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    seen = sc.broadcast(_table(word.groupBy("at").agg(F.bit_or("bit").alias("n")), bits - 6))
+    probing = written(train.select("rep", "ws").mapInArrow(lambda bs: _prefix_rows(bs, rarity.value, seen.value.view(np.uint64), bits), PREFIX), "overlap-probes")
+    t = probing.withColumnsRenamed({c: f"t_{c}" for c in probing.columns if c != "h"})
+    e = indexed.withColumnsRenamed({c: f"e_{c}" for c in indexed.columns if c != "h"})
+    met = split_join(t, e, ["h"], probing.groupBy("h").agg(F.count("*").alias("n")))
+    allowed = F.floor(F.greatest("e_n", "t_n") / PER_EDIT)
+    apart = sum((F.bit_count(F.col(f"e_b{k}").bitwiseXOR(F.col(f"t_b{k}"))) for k in range(4)), F.lit(0))
+    near = met.where((F.abs(F.col("e_n") - F.col("t_n")) <= allowed) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= allowed) & (apart <= 2 * allowed))
+    candidates = written(near.select("e_rep", "t_rep").distinct(), "overlap-candidates")
+    some = lambda side, c: side.join(candidates.select(F.col(c).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias(c), F.col("ws").alias(f"{c[0]}_ws"))
+    full = candidates.join(some(held, "e_rep"), "e_rep").join(some(train, "t_rep"), "t_rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,15 +252,20 @@ class SplitOverlap:
     """Overlaps between the train split and the dev and test splits of token records.
 
     Split names count apart from case and surrounding blanks; records of no split, or without words (null, empty or only
-    punctuation), take no part. Tags don't matter. Exact copies are one class: ``links`` has pairs of classes, ``members`` the
-    records of each, and ``pairs`` the pairs of records.
+    punctuation), take no part. Tags don't matter. Exact copies are one class: ``links`` has pairs of classes, ``membership`` each record
+    with its class and its number of links, and ``pairs`` the pairs of records.
     """
 
     def __init__(self, df: DataFrame, row_id: str, split: str, tokens: str, source: str | None = None):
         extra = [F.col(source).alias("source")] if source else [F.lit(None).cast("string").alias("source")]
-        self.records = _sides(df, row_id, split, tokens, extra)
-        self.kept = written(classes(self.records), "overlap-classes")
-        self.members = self.records.select("rec_id", "split", "source", "train", "text_key")
+        records = written(_sides(df, row_id, split, tokens, extra), "overlap-records")
+        self.members = records.select("rec_id", "split", "source", "train", "text_key")
+        reps = records.groupBy("train", "text_key").agg(F.min("rec_id").alias("rep"))
+        unique = records.groupBy("rec_id").count().where("count > 1").isEmpty()
+        # Where ids repeat, a class may have its least id in several rows, of which one is drawn.
+        rows = records if unique else records.groupBy("train", "text_key", "rec_id").agg(F.any_value("ws").alias("ws"))
+        kept = rows.join(reps.withColumnRenamed("rep", "rec_id"), ["train", "text_key", "rec_id"], "left_semi")
+        self.kept = written(kept.select("train", "text_key", F.col("rec_id").alias("rep"), "ws"), "overlap-classes")
 
     def links(self) -> DataFrame:
         """Pairs of classes: e_key, t_key, edits (0: the same words)."""
@@ -297,6 +282,16 @@ class SplitOverlap:
         full = written(self.links(), "overlap-links").join(e, "e_key").join(t, "t_key")
         return full.select(F.least("e", "t").alias("rec_id_a"), F.greatest("e", "t").alias("rec_id_b"), "edits")
 
+    def membership(self) -> DataFrame:
+        """One row for each record: rec_id, split, source, class_id (the least id of its class on its side), links (classes of the other side)."""
+        links = written(self.links(), "overlap-links")
+        ends = links.select(F.col("e_key").alias("text_key"), F.lit(False).alias("train")).union(links.select("t_key", F.lit(True)))
+        counted = ends.groupBy("train", "text_key").agg(F.count("*").alias("links"))
+        own = self.kept.select("train", "text_key", F.col("rep").alias("class_id")).join(counted, ["train", "text_key"], "left")
+        sizes = self.members.groupBy("train", "text_key").agg(F.count("*").alias("n"))
+        full = split_join(self.members, own, ["train", "text_key"], sizes, "left")
+        return full.select("rec_id", "split", "source", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
     def report(self) -> DataFrame:
         """Per split and source: records, and how many have the same or nearly the same words as a training record."""
         best = self.links().groupBy(F.col("e_key").alias("text_key")).agg(F.min("edits").alias("edits"))

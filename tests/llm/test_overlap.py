@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lumenweave.llm.split_overlap import SplitOverlap, choose, distance_within, most_edits
+from lumenweave.llm.split_overlap import SplitOverlap, distance_within, most_edits, prefix
 
 
 def plain_distance(a, b):
@@ -28,14 +28,20 @@ def test_distance():
         assert distance_within(np.array(a, np.int64), np.array(b, np.int64), most) == (want if want <= most else most + 1)
 
 
-def test_choice_is_disjoint_and_cheap():
+def test_prefix_is_a_prefix_with_enough_disjoint_shingles():
     rng = np.random.default_rng(1)
-    for n in (9, 30, 200, 5000):
-        cost, k = rng.integers(1, 100, n - 4).astype(float), most_edits(n) + 1
-        if 5 * k > n:
-            continue
-        got = choose(cost, k, 5)
-        assert len(got) == k and all(b - a >= 5 for a, b in zip(got, got[1:])) and got[0] >= 0 and got[-1] <= n - 5
+    for n in (10, 11, 30, 200, 5000):
+        own = rng.integers(1, 40, n - 4).astype(np.uint64)
+        rank, k = (own % np.uint64(7)).astype(np.int64), most_edits(n) + 1
+        got = sorted(prefix(own, rank, k, 5).tolist())
+        key = lambda i: (rank[i], own[i])
+        last = max(map(key, got))
+        assert got == [i for i in range(n - 4) if key(i) <= last]
+        ends, count = -1, 0
+        for i in got:
+            if i > ends:
+                ends, count = i + 4, count + 1
+        assert count >= k or len(got) == n - 4
 
 
 def test_against_brute_force(spark):
@@ -69,4 +75,8 @@ def test_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
     held = {(j if side(dict((r[0], r[1]) for r in rows)[j]) == "e" else i) for i, j in want}
     assert sum(r.overlapping for r in o.report().collect()) == len(held)
+    links = {r.rec_id: r.links for r in o.membership().collect()}
+    assert {i for i, n in links.items() if n} == {i for pair in want for i in pair} and len(links) == sum(bool(side(s) and words(t)) for _, s, t, _ in rows)
+    twice = SplitOverlap(df.union(df), "id", "sp", "toks", "source").pairs()
+    assert twice.count() == 4 * len(want) and {(r.rec_id_a, r.rec_id_b) for r in twice.distinct().collect()} == want
     assert SplitOverlap(df.limit(0), "id", "sp", "toks").pairs().count() == 0
