@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.llm.language import declared, fit, identify, mislabelled, units
+from lumenweave.llm.language import declared, fit, from_address, from_markup, identify, mislabelled, units
 
 TEXT = {
     "en": "The animals were kept in cages during the whole study. We asked whether the drug slows the disease in rats. None of them had to be excluded.",
@@ -37,6 +37,37 @@ def test_identify(spark):
     assert identify(df.limit(0), "id", "text", "lang", "source", "j", fit(SAMPLE)).count() == 0
 
 
+DUTCH = "De dieren werden tijdens het hele onderzoek in kooien gehouden. Wij wilden weten of het middel de ziekte bij ratten vertraagt. Geen van hen hoefde te worden uitgesloten."
+
+
+def test_other_languages_are_no_case(spark):
+    rows = [(1, DUTCH, "nl"), (2, DUTCH, None), (3, TEXT["de"] + "\n\n" + DUTCH * 3, "de")]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string").withColumn("source", F.lit("s")).withColumn("j", F.lit(None).cast("string"))
+    found = identify(df, "id", "text", "lang", "source", "j", fit(SAMPLE))
+    assert mislabelled(found).collect() == []
+
+
+def test_markup_and_address(spark):
+    said = spark.createDataFrame([("<html lang='de-AT'><p>x</p>", "https://www.uni.ac.at/x"), ("<p>x</p>", "example.com"), ("a < b", "fr"), (None, None), ('<p xml:lang="sv">', "host.com.br:80")], "t string, a string").coalesce(1)
+    assert [r[:] for r in said.select(from_markup(F.col("t")), from_address(F.col("a"))).collect()] == [("de", "de"), (None, None), (None, None), (None, None), ("other", "pt")]
+    short = "Zzxq wvub klkp mnrt. Zzxq wvub klkp mnrt."
+    df = spark.createDataFrame([(1, short, "x.pt"), (2, short, "x.it")], "id bigint, text string, host string").selectExpr("*", "'s' as source", "cast(null as string) as lang", "cast(null as string) as j", "if(id = 1, 'pt', 'it') as said")
+    model = fit(SAMPLE)
+    model.usual[:] = 0  # nothing is foreign
+    for more in ({"address": "host"}, {"markup": "said"}):
+        got = identify(df, "id", "text", "lang", "source", "j", model, **more)
+        assert {r.row_id: r.segments[0]["lang"] for r in got.collect()} == {1: "pt", 2: "it"}
+
+
+def test_no_bound_on_quotations_asides_and_titles():
+    inner = "Das ist ein langer Satz hier. " * 200
+    long = f"One sentence stands here now. (cf. “{inner}”). Another one stands here ({inner.replace('.', ',')}) too."
+    assert [u[2][0] for u in units(long) if u[3]] == ["one", "another"]
+    title = "word " * 300
+    assert units(f"{title}| One sentence stands here now.")[0][2][0] == "one"
+    assert len(units("One sentence stands here. And two stand here. Then | three stands here.")) == 3
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     if not os.path.exists(path):
