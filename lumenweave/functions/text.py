@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: The same characters, one after the other.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def squeeze(x: Column) -> Column:
@@ -41,7 +45,8 @@ def article(x: Column) -> Column:
     t = F.regexp_replace(F.translate(x, "０１２３４５６７８９", "0123456789"), r"(?<=\d),(?=\d{3}(?:\D|$))", "")
     plain = F.regexp_extract(t, rf"(?i)^{SPACE}*(?:pubmed|pmid)?{SPACE}*(?:id)?{SPACE}*[:#=]?{SPACE}*\+?0*(\d+?)(?:\.0*)?{SPACE}*$", 1)
     power = F.when(x.rlike(rf"^{SPACE}*\d(?:\.\d+)?[eE]\+?\d\d?{SPACE}*$"), strip(x).try_cast("double").try_cast("bigint"))
-    return F.coalesce(plain.try_cast("bigint"), power, F.when(F.length(plain) > 18, -F.abs(F.shiftright(F.xxhash64(plain), 1)) - 1))
+    slow = F.coalesce(plain.try_cast("bigint"), power, F.when(F.length(plain) > 18, -F.abs(F.shiftright(F.xxhash64(plain), 1)) - 1))
+    return F.when(x.rlike(r"^\d{1,18}$"), x.try_cast("bigint")).otherwise(slow)
 
 
 def without_accents(x: Column) -> Column:
