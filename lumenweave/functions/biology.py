@@ -28,12 +28,15 @@ def age_class(w: Column) -> Column:
 
 
 def plus_minus(text: Column) -> Column:
-    """``m ± s unit`` as its range with two decimals, not below 0; other text stays."""
-    p = r"(\d+(?:\.\d+)?)\s*±\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)"
-    m, s, u = (F.regexp_extract(text, p, i) for i in (1, 2, 3))
+    """``m ± s unit`` as its range with two decimals, not below 0; ``+/-`` is ``±``; a unit further on counts; other text stays."""
+    t = F.translate(text, "\u2009\xa0", "  ")
+    p = r"(\d+(?:\.\d+)?)\s*(?:±|\+/?-)\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)"
+    m, s, near = (F.regexp_extract(t, p, i) for i in (1, 2, 3))
+    u = F.lower(F.when(near != "", near).otherwise(F.regexp_extract(t, r"(?i)\b(weeks?|wks?|months?|mos?|days?|yrs?|years?)\b", 1)))
+    long = F.when(u.rlike("^(?:wks?|weeks?)$"), "weeks").when(u.rlike("^(?:mos?|months?)$"), "months").when(u.rlike("^(?:yrs?|years?)$"), "years").when(u.rlike("^(?:d|days?)$"), "days").otherwise(u)
     lo = F.greatest(F.lit(0.0), m.try_cast("double") - s.try_cast("double"))
     hi = m.try_cast("double") + s.try_cast("double")
-    unit = F.when(u != "", F.concat(F.lit(" "), u)).otherwise("")
+    unit = F.when(long != "", F.concat(F.lit(" "), long)).otherwise("")
     return F.when(m != "", F.concat(F.format_string("%.2f", lo), unit, F.lit(", "), F.format_string("%.2f", hi), unit)).otherwise(text)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(cell: Column, sep: str = r"\|") -> Column:
     """Trimmed non-empty tokens of a delimited cell; null gives an empty array."""
     return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
