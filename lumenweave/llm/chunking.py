@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.functions.text import SPACE
+from lumenweave.functions.text import SPACES
 
 LIMIT, OVERLAP = 512, 128
 INSIDE, PLAIN, CLAUSE, SENTENCE = 9, 1, 2, 3
@@ -18,9 +19,10 @@ ENDS, CLAUSE_ENDS, CLOSERS = frozenset(".!?…。"), frozenset(",;:"), frozenset
 
 def real(tokens: Column) -> Column:
     """Tokens that are neither null nor white space only."""
-    return F.filter(tokens, lambda t: t.isNotNull() & ~t.rlike(f"^{SPACE}*$"))
+    return F.filter(tokens, lambda t: t.isNotNull() & (F.btrim(t, F.lit(SPACES)) != ""))
 
 
+@lru_cache(maxsize=10_000)
 def entity_of(tag: str | None) -> tuple[str, str]:
     """Prefix (B, I or O) and type of a tag, however it is written; of alternatives joined by ``|`` the first counts."""
     t = (tag or "O").split("|")[0].strip().upper()
@@ -47,19 +49,26 @@ def strengths(tokens: list[str], tags: list[str]) -> list[int]:
 def segments(bounds: list[int], n: int, limit: int, overlap: int) -> list[int]:
     """Ends of the pieces of ``n`` tokens: agglomerative merging of the weakest boundaries.
 
-    Atoms are runs that no boundary but ``INSIDE`` parts. A heap holds adjacent pairs by strength, combined size and place;
-    the weakest are merged while the combined size and the overlap from the piece before fit into ``limit``. The first piece
-    has no overlap before it, but has at least ``overlap`` tokens, so that the next can share as many. An entity beyond the
-    limit is cut at the limit, as nothing else can be done.
+    Atoms are runs that no boundary but ``INSIDE`` and ``PLAIN`` parts, if a piece can add them whole (all their pairs would be merged before
+    any other), else runs that ``INSIDE`` parts. A heap holds adjacent pairs by strength, combined size and place; the weakest are merged
+    while the combined size and the overlap from the piece before fit into ``limit``. The first piece has no overlap before it, but has at
+    least ``overlap`` tokens, so that the next can share as many. An entity longer than what a piece adds, ``limit - overlap``, is cut
+    there, as nothing else can be done.
     """
     room = limit - overlap
     first = _first_end(bounds, n, limit, overlap)
     atoms: list[tuple[int, int]] = [(0, first)]
-    begin = first
-    for i in range(first, n):
-        if i == n - 1 or bounds[i] != INSIDE or i + 1 - begin >= room:
-            atoms.append((begin, i + 1))
-            begin = i + 1
+    run = first
+    for stop in [*(i + 1 for i in range(first, n - 1) if bounds[i] in (CLAUSE, SENTENCE)), n]:
+        if 0 < stop - run <= room:
+            atoms.append((run, stop))
+        else:
+            begin = run
+            for i in range(run, stop):
+                if i == stop - 1 or bounds[i] != INSIDE or i + 1 - begin >= room:
+                    atoms.append((begin, i + 1))
+                    begin = i + 1
+        run = stop
     start = [a for a, _ in atoms]
     end = [b for _, b in atoms]
     left, right = list(range(-1, len(atoms) - 1)), [*range(1, len(atoms)), -1]
@@ -119,17 +128,18 @@ def split_oversized(df: DataFrame, row_id: str, tokens: str, tags: str, limit: i
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
-    large = df.where(F.size(real(F.col(tokens))) > limit).select(F.col(row_id).cast("bigint").alias("rec_id"), F.col(tokens).alias("tokens"), F.col(tags).alias("tags"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for rec, toks, labels in zip(batch["rec_id"], batch["tokens"], batch["tags"]):
-                labels = [] if labels is None else list(labels)
-                both = [(t, labels[i] if i < len(labels) and labels[i] is not None else "O") for i, t in enumerate(toks) if t is not None and t.strip()]
-                words, marks = [b[0] for b in both], [b[1] for b in both]
-                for k, (a, b) in enumerate(pieces(words, marks, limit, overlap)):
-                    rows.append((rec, k + 1, a, b - a, words[a:b], marks[a:b]))
-            yield pd.DataFrame(rows, columns=["rec_id", "piece", "begin", "n_tokens", "tokens", "ner_tags"])
-
-    return large.mapInPandas(cut, "rec_id bigint, piece int, begin int, n_tokens int, tokens array<string>, ner_tags array<string>")
+    rows = df.where(F.size(tokens) > limit).select(F.col(row_id).cast("bigint").alias("rec_id"), F.col(tokens).alias("t"), F.col(tags).alias("g")).where(F.size(real(F.col("t"))) > limit)
+    # Longer of the two lists sets the length of the zip; tokens beyond the token list are null and go.
+    both = F.filter(F.arrays_zip("t", F.coalesce("g", F.array().cast("array<string>")).alias("g")), lambda x: x["t"].isNotNull() & (F.btrim(x["t"], F.lit(SPACES)) != ""))
+    clean = rows.select("rec_id", both.alias("z")).select("rec_id", F.col("z.t").alias("t"), F.transform("z", lambda x: F.coalesce(x["g"], F.lit("O"))).alias("g"))
+
+    @F.arrow_udf("array<struct<begin:int,n:int>>")
+    def cut(words: pa.Array, marks: pa.Array) -> pa.Array:
+        spans = [pieces(w, m, limit, overlap) for w, m in zip(words.to_pylist(), marks.to_pylist())]
+        flat = np.array([(a, b - a) for own in spans for a, b in own], np.int32).reshape(-1, 2)
+        offsets = np.cumsum([0, *map(len, spans)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["begin", "n"]))
+
+    out = clean.select("rec_id", "t", "g", F.posexplode(cut("t", "g")).alias("at", "s"))
+    part = lambda c: F.slice(c, F.col("s.begin") + 1, F.col("s.n"))
+    return out.select("rec_id", (F.col("at") + 1).alias("piece"), "s.begin", F.col("s.n").alias("n_tokens"), part("t").alias("tokens"), part("g").alias("ner_tags"))

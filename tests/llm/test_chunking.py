@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenweave.llm.chunking import entity_of, pieces, split_oversized
+from lumenweave.llm.chunking import INSIDE, entity_of, pieces, segments, split_oversized, strengths
 
 
 def tagged(rnd, n):
@@ -49,6 +49,16 @@ def test_giant_entity_and_giant_record():
     assert pieces(toks, tags)[-1][1] == 60_000
 
 
+def test_segments_end_outside_entities():
+    rnd = random.Random(5)
+    for n in (65, 130, 700):
+        toks, tags = tagged(rnd, n)
+        bounds = strengths(toks, tags)
+        got = segments(bounds, n, 64, 16)
+        ends = [(i + 1) for i in range(n - 1) if bounds[i] != INSIDE] + [n]
+        assert set(got) <= set(ends) and all(b - a <= 64 - 16 for a, b in zip(got, got[1:])) and got[0] <= 64
+
+
 def test_records(spark):
     long = ["a", None, " ", "\xa0", ""] + ["t"] * 600
     rows = [(1, long, ["B-DRUG"]), (2, ["x"] * 512, None), (3, None, None), (4, [], []), (1, long, None), (5, ["x"] * 513, ["O"] * 600)]
