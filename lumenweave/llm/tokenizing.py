@@ -21,9 +21,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters beyond which a text is encoded in parts; bytes beyond which an unsplit run is halved.
 LEAF = 1 << 15
 TEXT, RUN, MORE = 0, 1, 2
-#: Where the pattern parts any text: after a visible ASCII character before a blank, and between ASCII letters, digits and
-#: signs other than the apostrophe.
-SAFE = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z])(?=[0-9!-&(-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+# Letters and signs of several scripts, none of them new to the standard, so that every tool knows their class.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-Ωα-ωА-яא-תء-غف-يぁ-ゖァ-ヺ㐀-䶵一-鿌가-힣"
+_SIGNS = r"!-&(-/:-@\[-`{-~、。〈〉《》「」『』【】！＂（），－．：；？［］｛｝。，、؛؟،…–—“”«»·¡¿"
+#: Where the pattern parts any text: after a visible character before a blank, and between letters, digits and signs other than the apostrophe.
+SAFE = re.compile(rf"(?<=[{_LETTERS}0-9{_SIGNS}])(?=[ \n])|(?<=[{_LETTERS}])(?=[0-9{_SIGNS}])|(?<=[0-9])(?=[{_LETTERS}{_SIGNS}])|(?<=[{_SIGNS}])(?=[{_LETTERS}0-9])")
 #: Runs of one class of characters.
 ONE_CLASS = regex.compile(r"\p{L}+|\p{N}+|\p{White_Space}+|[^\p{White_Space}\p{L}\p{N}]+")
 BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))

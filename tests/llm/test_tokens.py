@@ -69,3 +69,14 @@ def test_pack(spark):
     assert got.count() == len(rows) + 3
     assert summary(got).first().used > 0.97
     assert pack(df.limit(0), "id", "n").count() == 0 and summary(pack(df.limit(0), "id", "n")).first().containers == 0
+
+
+def test_leaves_of_other_scripts():
+    made = Encoder("byte_bpe_50k")
+    rnd = random.Random(4)
+    for letters, signs in (("中文字符测试", "，。！？；："), ("αβγδ", ",.·"), ("абвг", "«».—"), ("가나다", "."), ("éàüß", "¿¡'")):
+        text = "".join(rnd.choice(letters) if rnd.random() < 0.9 else rnd.choice(signs) for _ in range(9000))
+        parts = list(made.leaves(text, 500))
+        assert len(parts) > 9 and b"".join(p for _, p in parts).decode() == text
+        if all(k == 0 for k, _ in parts):
+            assert [i for k, p in parts for i in made.leaf_ids(p, k)] == made.ids(text)
