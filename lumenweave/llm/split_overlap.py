@@ -18,9 +18,10 @@ from lumenweave.session import written
 Q, SHORT_Q, SHORT_N = 5, 4, 9
 #: One edit in that many words of the longer record is allowed.
 PER_EDIT = 10
-#: Size of the table that orders shingles by rarity, and of the one that says which shingles the index has: by its rows, within these
-#: bounds. Both are sent to every worker and only steer; beyond the upper bound more rows are probed in vain, but none is lost.
-DF_BITS, SEEN_BITS = 18, (16, 27)
+#: Size of the table that orders shingles by rarity, by the words of training, and of the one that says which shingles the index has, by its
+#: rows, within these bounds. Both are sent to every worker and only steer; beyond the upper bound more rows are probed in vain, but none is
+#: lost.
+DF_BITS, SEEN_BITS = (14, 21), (16, 27)
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,9 +154,17 @@ def _bits(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 PREFIX = "h bigint, pos int, rep bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 
 
+def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Least edits that the words of two sequences allow, wherever they stand."""
+    _, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(where[: len(a)], minlength=len(where)), np.bincount(where[len(a) :], minlength=len(where))
+    return max(len(a), len(b)) - int(np.minimum(x, y).sum())
+
+
 def _prefix_rows(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, bitmap: np.ndarray | None = None, bits: int = 0) -> Iterator[pa.RecordBatch]:
-    """The prefix of each class (rep, ws): a row for each shingle. Of nine and ten words also those of four; ``bitmap`` says which to keep."""
-    mask = np.uint64((1 << DF_BITS) - 1)
+    """The prefix of each class (rep, ws): a row for each shingle. Of nine and ten words also those of four. Evaluation keeps what training
+    has, training (with ``bitmap``) what the index has."""
+    mask = np.uint64(len(rarity) - 1)
     for batch in batches:
         flat, offsets = _lists(batch.column("ws"))
         sizes = np.diff(offsets)
@@ -170,7 +179,10 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, bitmap:
                 h.append(own[got])
         rec, place, h = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rec, place, h))
         h = h.astype(np.uint64)
-        if bitmap is not None and len(h):
+        if bitmap is None:  # a shingle that training has not meets none
+            there = np.flatnonzero(rarity[(h & mask).astype(np.int64)])
+            rec, place, h = rec[there], place[there], h[there]
+        elif len(h):
             top = h >> np.uint64(64 - bits)
             hit = np.flatnonzero((bitmap[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1))
             rec, place, h = rec[hit], place[hit], h[hit]
@@ -195,27 +207,29 @@ def near_classes(kept: DataFrame) -> DataFrame:
     A prefix filter: all shingles have one order, by their count in training and then their hash. The prefix of a record is its rarest
     shingles up to the first that makes one more of them disjoint than there can be edits (the shortest prefix that so many edits may not
     change altogether). Of two records within the limit, that with the lesser last shingle has one in common with the other, which then
-    is in the other's prefix too. Index: the prefixes of evaluation classes. Probe: those of training classes. Length, place and word bits
-    filter in the join; what is left is verified by the exact distance. A shingle that many share is split among tasks. No link is lost.
+    is in the other's prefix too. Index: the prefixes of evaluation classes. Probe: those of training classes. Length, place (the words before
+    and after the shared shingle) and word bits filter in the join; what is left is verified by the exact distance. A shingle that many share is split among tasks. No link is lost.
     """
     sc = kept.sparkSession.sparkContext
     held, train = kept.where("not train"), kept.where("train")
-    mask = np.uint64((1 << DF_BITS) - 1)
+    many = train.agg(F.coalesce(F.sum(F.size("ws")), F.lit(1)).alias("n")).first()["n"]
+    df_bits = min(DF_BITS[1], max(DF_BITS[0], int(many).bit_length()))
+    mask = np.uint64((1 << df_bits) - 1)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << DF_BITS, np.int64)
+        total = np.zeros(1 << df_bits, np.int64)
         for batch in batches:
             flat, offsets = _lists(batch.column("ws"))
             for q in (Q, SHORT_Q):
                 keep = None if q == Q else (np.diff(offsets) == SHORT_N) | (np.diff(offsets) == SHORT_N + 1)
                 _, _, where = _places(offsets, q, keep)
-                total += np.bincount((_shingles(flat, q)[where] & mask).astype(np.int64), minlength=1 << DF_BITS)
+                total += np.bincount((_shingles(flat, q)[where] & mask).astype(np.int64), minlength=1 << df_bits)
         some = np.flatnonzero(total)
         for a in range(0, len(some), 50_000):
             part = some[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["at", "n"])
 
-    rarity = sc.broadcast(_table(train.select("ws").mapInArrow(tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")), DF_BITS))
+    rarity = sc.broadcast(_table(train.select("ws").mapInArrow(tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")), df_bits).astype(np.int32))
     indexed = written(held.select("rep", "ws").mapInArrow(lambda bs: _prefix_rows(bs, rarity.value), PREFIX), "overlap-index")
     bits = min(SEEN_BITS[1], max(SEEN_BITS[0], (16 * indexed.count()).bit_length()))
     at = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
@@ -227,7 +241,8 @@ def near_classes(kept: DataFrame) -> DataFrame:
     met = split_join(t, e, ["h"], probing.groupBy("h").agg(F.count("*").alias("n")))
     allowed = F.floor(F.greatest("e_n", "t_n") / PER_EDIT)
     apart = sum((F.bit_count(F.col(f"e_b{k}").bitwiseXOR(F.col(f"t_b{k}"))) for k in range(4)), F.lit(0))
-    near = met.where((F.abs(F.col("e_n") - F.col("t_n")) <= allowed) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= allowed) & (apart <= 2 * allowed))
+    before, after = F.abs(F.col("e_pos") - F.col("t_pos")), F.abs((F.col("e_n") - F.col("e_pos")) - (F.col("t_n") - F.col("t_pos")))
+    near = met.where((F.abs(F.col("e_n") - F.col("t_n")) <= allowed) & (before + after <= allowed) & (apart <= 2 * allowed))
     candidates = written(near.select("e_rep", "t_rep").distinct(), "overlap-candidates")
     some = lambda side, c: side.join(candidates.select(F.col(c).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias(c), F.col("ws").alias(f"{c[0]}_ws"))
     full = candidates.join(some(held, "e_rep"), "e_rep").join(some(train, "t_rep"), "t_rep")
@@ -240,7 +255,7 @@ def near_classes(kept: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 x, y = a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]]
                 most = max(len(x), len(y)) // PER_EDIT
-                edits[i] = distance_within(x, y, most)
+                edits[i] = most + 1 if bag_distance(x, y) > most else distance_within(x, y, most)
                 good[i] = 0 < edits[i] <= most
             index = pa.array(np.flatnonzero(good), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("e_rep").take(index), batch.column("t_rep").take(index), pa.array(edits[good], pa.int32())], names=["e_rep", "t_rep", "edits"])
