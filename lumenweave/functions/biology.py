@@ -65,6 +65,42 @@ def strain_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"[\s/\-]", ""), r"(?<=\w)j$", "")
 
 
+# Families of strains by how their names begin, without blanks and hyphens; $1 is the first group.
+FAMILIES = {
+    r"^C57/?B?L?/?(\d+)": "C57BL/$1",
+    r"^BALB/?C(?![A-Z0-9_])": "BALB/C",
+    r"^DBA/?(\d+)": "DBA/$1",
+    r"^FVB": "FVB/N",
+    r"^129": "129",
+    r"^CBA(?:/[A-Z0-9]+)?$": "CBA",
+    r"^NOD(?:/[A-Z0-9]+)?$": "NOD",
+    r"^C3H(?:/[A-Z0-9]+)?$": "C3H",
+    r"^SJL(?:/[A-Z0-9]*)?$": "SJL",
+    r"^SPRAGUE[A-Z]{0,6}DAWLE?Y": "Sprague-Dawley",
+    r"^WISTAR": "Wistar",
+    r"^LONG[A-Z]{0,6}EVA[NS]{1,2}": "Long-Evans",
+    r"^(?:FISCHE?R?344|F344)": "Fischer",
+    r"^LEW(?:IS$|(?![A-Z]))": "Lewis",
+    r"^SWISSALBINO": "Swiss Albino",
+}
+NO_STRAIN = ("NOT REPORTED", "UNLABELED", "NAN", "NONE", "OTHER")
+
+
+def strain_family(text: Column) -> Column:
+    """The family of a strain, however it is written: the first of ``FAMILIES`` that fits; else the name without blanks, brackets, transgenes
+    and a substrain's letters, its first two parts if it has a slash. Placeholders stay."""
+    bare = lambda t, letters: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?is)-?Tg\([^)]*\).*", ""), r"\([^)]*\)", ""), rf"[^{letters}0-9/\s_-]", " "), r"[\s_-]+", ""), "/+", "/")
+    name = F.trim(text)
+    key = bare(F.upper(name), "A-Z")
+    out = F.when(F.upper(name).isin(*NO_STRAIN), name)
+    for pattern, family in FAMILIES.items():
+        told = F.concat(F.lit(family[:-2]), F.regexp_extract(key, pattern, 1)) if family.endswith("$1") else F.lit(family)
+        out = out.when(key.rlike(pattern), told)
+    rest = F.regexp_replace(bare(name, "A-Za-z"), r"/[A-Za-z]+$", "")
+    two = F.regexp_extract(rest, r"^([^/]+/[^/]+)", 1)
+    return out.when(two != "", two).otherwise(rest)
+
+
 def spelled_number(text: str) -> float | None:
     """A number in digits or words, or both (``one hundred and 62``); null if there is none."""
     words = re.findall(r"\d+(?:\.\d+)?|[a-z]+", text.lower().replace(",", "").replace("-", " "))
@@ -84,6 +120,18 @@ def spelled_number(text: str) -> float | None:
     return total + part if seen else None
 
 
+def numbers_of(text: str) -> list[float] | None:
+    """The numbers of a list parted by commas, once if all are the same; null unless each piece is one.
+
+    Ordinals (``1st``), words before (``about``, ``n =``) and after (``animals``, ``kg``) and signs don't matter.
+    """
+    t = re.sub(r"^[^0-9a-z]+", "", re.sub(r"(\d)(?:st|nd|rd|th)\b", r"\1", text.strip().lower()))
+    found = [spelled_number(p) for p in re.split(r",(?!\d{3}(?:\D|$))", t)]
+    if not found or None in found:
+        return None
+    return found[:1] if len(set(found)) == 1 else found
+
+
 def number_of(text: Column) -> Column:
     """The first number of a text. Plain digits stay in the JVM."""
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.session import written
+
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select([F.col(f"`{c}`").alias(c if c in keep else prefix + c) for c in df.columns])
@@ -110,11 +112,30 @@ def sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the running number from 1 in this order, over all rows.
+
+    One sort in ranges of the order, of which no task has more than its share; the sorted rows are written, and each gets its place in its
+    range and the rows of the ranges before. Only the ranges' sizes, as many as there are partitions, are summed in one place.
+    """
+    spark = df.sparkSession
+    placed = df.orderBy(*order).withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    rows = written(placed, "numbered")
+    before, total = [], 0
+    for r in sorted(rows.groupBy("__range").count().collect()):
+        before.append((r["__range"], total))
+        total += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(before, "__range int, __before bigint"))
+    return rows.join(offsets, "__range").withColumn(name, F.col("__at") + F.col("__before") + 1).drop("__range", "__at", "__before")
+
+
 def stratified(df: DataFrame, label: str, key: str, train: float, dev: float) -> DataFrame:
-    """Adds split (train, dev, test) by place in each class's hash order; exact to a row in each class."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    place = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(place < train, "train").when(place < train + dev, "dev").otherwise("test"))
+    """Adds split (train, dev, test) by place in each class's hash order; exact to a row in each class, null a class of its own."""
+    rows = numbered(df, [F.col(label).asc_nulls_first(), F.md5(F.col(key).cast("string")), F.col(key)], "__n")
+    sizes = rows.groupBy(F.col(label).alias("__label")).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    full = rows.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
+    place = (F.col("__n") - F.col("__first")) / F.col("__size")
+    return full.withColumn("split", F.when(place < train, "train").when(place < train + dev, "dev").otherwise("test")).select(*df.columns, "split")
 
 
 def overlap(parts: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -126,3 +147,14 @@ def overlap(parts: Mapping[str, DataFrame], key: str) -> DataFrame:
 def split_ways(df: DataFrame, key: str, n: int) -> DataFrame:
     """Part of each row in an n-way strided split over a running id."""
     return df.withColumn("part", F.pmod(F.col(key), F.lit(n)).cast("int"))
+
+
+def split_runs(df: DataFrame, order: Sequence[Column], parts: int | None = None, size: int | None = None) -> DataFrame:
+    """Part of each row in contiguous runs of this order: so many of equal size (the first ones a row longer), or runs of ``size`` rows."""
+    rows = numbered(df, order, "__n")
+    if size:
+        return rows.withColumn("part", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")
+    total = F.broadcast(rows.agg(F.count("*").alias("__total")))  # one row
+    short, longer, at = F.floor(F.col("__total") / parts), F.pmod("__total", F.lit(parts)), F.col("__n") - 1
+    part = F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / F.greatest(short, F.lit(1))))
+    return rows.crossJoin(total).withColumn("part", part.cast("int")).drop("__n", "__total")

@@ -57,14 +57,28 @@ def milestones(df: DataFrame) -> DataFrame:
     return out.withColumn("reached", F.col("any_phase4") | F.col("completed_phase3") | approved)
 
 
-def pair_table(clinical: DataFrame, preclinical: DataFrame) -> DataFrame:
-    """One row for each pair that both sides have.
+def pair_features(evidence: DataFrame) -> DataFrame:
+    """One row for each pair that both sides have, with its counts and features; no lists are built.
 
-    ``clinical``: pair, doc, phase, status, start, final; ``preclinical``: pair, doc, year. Documents are counted once a pair
-    (of repeats the least row counts); lists are one array of structs in the order of the documents, so nulls keep their place.
+    ``evidence``: pair, doc, clinical (whether the row is clinical too), phase, status, start, final, year. Documents are counted once a pair;
+    of a pair's clinical rows of one document the least (phase, status, start, final) counts, of preclinical years the least. Both sides go
+    through one shuffle by pair and document, and one by pair, each with partial sums before, so a pair with a third of all rows is no burden.
     """
-    c = clinical.groupBy("pair", "doc").agg(F.min(F.struct("phase", "status", "start", "final")).alias("t"))
-    cl = c.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("doc", "t"))).alias("trials"), F.count("*").alias("clinical_count"))
-    p = preclinical.groupBy("pair", "doc").agg(F.min("year").alias("year"))
-    pr = p.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("doc", "year"))).alias("papers"), F.count("*").alias("preclinical_count"))
-    return cl.join(pr, "pair")
+    trial = F.struct("phase", "status", "start", "final")
+    docs = evidence.groupBy("pair", "doc").agg(F.min(F.when(F.col("clinical"), trial)).alias("t"), F.min("year").alias("year"))
+    t = F.col("t")
+    done = has_part(t["phase"], "PHASE3") & (F.upper(F.trim(t["status"])) == COMPLETED)
+    fourth = has_part(t["phase"], "PHASE4")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    g = docs.groupBy("pair").agg(
+        F.count("t").alias("clinical_count"),
+        F.count("*").alias("preclinical_count"),
+        F.max(F.when(t.isNotNull(), phase_rank(t["phase"]))).alias("max_phase"),
+        no(F.bool_or(t.isNotNull() & fourth)).alias("any_phase4"),
+        no(F.bool_or(t.isNotNull() & no(done))).alias("completed_phase3"),
+        F.min(t["start"]).alias("first_start"),
+        F.min(F.when(no(done), t["final"])).alias("first_completed_phase3"),
+        F.min("year").alias("first_paper"),
+        F.max("year").alias("last_paper"),
+    )
+    return g.where("clinical_count > 0").withColumn("status", F.when(F.col("any_phase4") | F.col("completed_phase3"), "approved").otherwise("failed"))

@@ -14,7 +14,7 @@ from lumenweave.plans.training import ANNOTATIONS as ANN
 from lumenweave.plans.training import ENTITIES as ENT
 from lumenweave.plans.training import METADATA as META
 from lumenweave.plans.training import _NUMBER as NUM
-from lumenweave.session import table
+from lumenweave.session import table, width
 
 TR = "translation_table_drug_disease_full"
 query = Registry()
@@ -39,29 +39,9 @@ def translation_table(s, d):
         .join(o.select("o_orderkey", F.year("o_orderdate").alias("oy")), F.col("l_orderkey") == F.col("o_orderkey"))
     )
     phase = F.when(F.col("l_returnflag") == "A", "PHASE2").when(F.col("l_returnflag") == "N", "PHASE3").otherwise("PHASE4")
-    clinical = base.where("l_returnflag <> 'A' or l_linestatus = 'F'").select("pair", F.col("l_orderkey").alias("doc"), phase.alias("phase"), F.when(F.col("l_linestatus") == "F", "COMPLETED").otherwise("ACTIVE").alias("status"), F.col("oy").alias("start"), F.year("l_shipdate").alias("final"))
-    both = T.pair_table(clinical, base.select("pair", F.col("l_orderkey").alias("doc"), F.col("oy").alias("year")))
-    flat = both.select(
-        "pair",
-        "clinical_count",
-        "preclinical_count",
-        F.col("trials.t.phase").alias("phase"),
-        F.col("trials.t.status").alias("overall_status"),
-        F.col("trials.t.start").alias("trial_start_year"),
-        F.col("trials.t.final").alias("final_trial_year"),
-        F.array_min("papers.year").alias("first_paper"),
-        F.array_max("papers.year").alias("last_paper"),
-    )
-    m = T.milestones(flat)
-    return m.select("pair", "clinical_count", "preclinical_count", "max_phase", "any_phase4", "completed_phase3", "first_start", "first_completed_phase3", "first_paper", "last_paper", F.when(F.col("reached"), "approved").otherwise("failed").alias("status"))
-
-
-@query("a01_collect_lists", f"select batch_id, string_agg(pair_row_id || ':' || coalesce(preclinical_count::varchar, 'null'), ',' order by pair_row_id) as items, count(*) as n from {TR} where fda_earliest_year is not null group by 1")
-def _(s, d):
-    t = table(s, d, TR).where("fda_earliest_year is not null")
-    items = F.sort_array(F.collect_list(F.struct("pair_row_id", "preclinical_count")))
-    text = F.array_join(F.transform(items, lambda x: F.concat(x["pair_row_id"].cast("string"), F.lit(":"), F.coalesce(x["preclinical_count"].cast("string"), F.lit("null")))), ",")
-    return t.groupBy("batch_id").agg(text.alias("items"), F.count("*").alias("n"))
+    clinical = (F.col("l_returnflag") != "A") | (F.col("l_linestatus") == "F")
+    status = F.when(F.col("l_linestatus") == "F", "COMPLETED").otherwise("ACTIVE")
+    return T.pair_features(base.select("pair", F.col("l_orderkey").alias("doc"), clinical.alias("clinical"), phase.alias("phase"), status.alias("status"), F.col("oy").alias("start"), F.year("l_shipdate").alias("final"), F.col("oy").alias("year")))
 
 
 @query("a01_collect_all_lists", f"select normalized_key, string_agg(pair_row_id || ':' || coalesce(preclinical_count::varchar, 'null'), ',' order by pair_row_id) as items, count(*) as n from {TR} group by 1")
@@ -321,12 +301,14 @@ def _(s, d):
     return f.agg(F.sum("x").alias("xml"), F.sum("h").alias("html"), F.sum("p").alias("pdf"), F.sum("t").alias("plain"), F.count_if((F.col("x") == 1) & (every == 1)).alias("only_xml"), F.count_if(every == 0).alias("none_at_all"), F.round(F.avg(every), 6).alias("formats"))
 
 
-@query("a36_phrase_summary", f"with m as (select {NUM} k, regexp_extract(title, 'A model of ([a-z]+)', 1) ph from {META}), g as (select ph, k from m where ph <> '' and k is not null group by 1, 2) select ph as phrase, count(*) as docs, string_agg(k::varchar, '|' order by k) filter (where r <= 3) as examples from (select *, row_number() over (partition by ph order by k) r from g) group by 1")
+@query("a36_phrase_summary", f"with m as (select {NUM} k, trim(regexp_extract(title, 'A model of (.+?) in (.+?) ([a-z ]+)\\.$', 1)) dis, regexp_extract(title, '(A model of) (.+?) in (.+?) ([a-z ]+)\\.$', 1) ph from {META}), g as (select dis, ph, k from m where ph <> '' and k is not null group by 1, 2, 3) select dis as disease, ph as phrase, count(*) as docs, string_agg(k::varchar, '|' order by k) filter (where r <= 3) as examples from (select *, row_number() over (partition by dis, ph order by k) r from g) group by 1, 2")
 def _(s, d):
-    m = table(s, d, META).select(article(F.col("pmid")).alias("k"), F.regexp_extract("title", "A model of ([a-z]+)", 1).alias("phrase")).where("phrase <> '' and k is not null").distinct()
-    w = Window.partitionBy("phrase").orderBy("k")
-    three = F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.col("k"))))
-    return m.withColumn("r", F.row_number().over(w)).groupBy("phrase").agg(F.count("*").alias("docs"), F.array_join(F.transform(three, lambda x: x.cast("string")), "|").alias("examples"))
+    """Articles of each disease and phrase, and three of them. A phrase of many articles is counted in parts, of which each keeps three."""
+    p = r"(A model of) (.+?) in (.+?) ([a-z ]+)\.$"
+    m = table(s, d, META).select(article(F.col("pmid")).alias("k"), F.trim(F.regexp_extract("title", p, 2)).alias("disease"), F.regexp_extract("title", p, 1).alias("phrase")).where("phrase <> '' and k is not null").distinct()
+    part = m.groupBy("disease", "phrase", F.pmod(F.xxhash64("k"), F.lit(width(s))).alias("part")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("k")), 1, 3).alias("k"))
+    three = F.slice(F.array_sort(F.flatten(F.collect_list("k"))), 1, 3)
+    return part.groupBy("disease", "phrase").agg(F.sum("n").alias("docs"), F.array_join(F.transform(three, lambda x: x.cast("string")), "|").alias("examples"))
 
 
 @query("f50_pipe_tokens", f"select entity_row_id, len([x for x in string_split(unique_conditions_linkbert_predictions, '|') if trim(x) <> '']) as n from {ENT} where unique_conditions_linkbert_predictions is not null")

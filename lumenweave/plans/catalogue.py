@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenweave.plans import aggregates, files, further, graphs, relational, texts, training
+from lumenweave.plans import aggregates, entities, files, further, graphs, relational, texts, training
 
-_PARTS = [relational.query, aggregates.query, texts.query, graphs.query, files.query, further.query]
+_PARTS = [relational.query, aggregates.query, texts.query, graphs.query, files.query, further.query, entities.query]
 
 QUERIES = dict(training.QUERIES)
 ORACLES = dict(training.ORACLES)

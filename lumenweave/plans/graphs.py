@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import biology as B
 from lumenweave.functions import cells as C
 from lumenweave.functions.text import article
+from lumenweave.operators import classify as K
 from lumenweave.operators import evaluate as E
 from lumenweave.operators import linking as L
 from lumenweave.operators import ontology as G
@@ -15,27 +16,33 @@ from lumenweave.plans.registry import Registry
 from lumenweave.plans.training import ANNOTATIONS as ANN
 from lumenweave.plans.training import ENTITIES as ENT
 from lumenweave.plans.training import METADATA as META
+from lumenweave.plans.training import _NUMBER as NUM
 from lumenweave.session import table
 
 TR, NER = "translation_table_drug_disease_full", "drug_disease_ner"
 query = Registry()
 
 _UP = "with recursive e as (select distinct id c, p from (select id, unnest(parents) p from ontology_terms) where id <> p), walk as (select c node, p ancestor, 1 hops from e union select w.node, e.p, w.hops + 1 from walk w join e on w.ancestor = e.c where w.hops < 30), up as (select node, ancestor, min(hops) hops from walk where node <> ancestor group by 1, 2)"
-ROOT = "MONDO:9225707"
+#: The root is the node without parents at which the most links end.
+_ROOT = "(select p from (select id, unnest(parents) p from ontology_terms) where p not in (select id from ontology_terms where len(parents) > 0) group by 1 order by count(*) desc, p limit 1)"
 
 
 def _closure(s, d):
     return G.closure(G.edges(table(s, d, "ontology_terms")))
 
 
+def _root(s, d):
+    return G.root_of(G.edges(table(s, d, "ontology_terms")))
+
+
 @query("g01_ancestor_closure", _UP + " select node, ancestor, hops::int as hops from up")
 def _(s, d):
     return _closure(s, d)
 
 
-@query("g02_depth_to_root", _UP + f" select node, hops::int as depth from up where ancestor = '{ROOT}'")
+@query("g02_depth_to_root", _UP + f" select node, hops::int as depth from up where ancestor = {_ROOT}")
 def _(s, d):
-    return G.depths(_closure(s, d), ROOT)
+    return G.depths(_closure(s, d), _root(s, d))
 
 
 @query("g03_descendant_counts", _UP + " select ancestor as node, count(distinct node) as descendants from up group by 1")
@@ -44,7 +51,7 @@ def _(s, d):
 
 
 _USED = f"used as (select distinct trim(unnest(string_split(disease_mondo_termid, '|'))) id from {ENT})"
-_NEAR = f", {_USED}, few as (select ancestor from up group by 1 having count(distinct node) < 100), deep as (select node from up where ancestor = '{ROOT}' and hops >= 1)"
+_NEAR = f", {_USED}, few as (select ancestor from up group by 1 having count(distinct node) < 100), deep as (select node from up where ancestor = {_ROOT} and hops >= 1)"
 
 
 def _used(s, d):
@@ -54,7 +61,7 @@ def _used(s, d):
 @query("g04_nearest_parent", _UP + _NEAR + " select node, split_part(b, '#', 2) as parent, split_part(b, '#', 1)::int as hops from (select node, min(lpad(hops::varchar, 3, '0') || '#' || ancestor) b from up where ancestor in (select id from used where id is not null) and ancestor in (select * from few) and ancestor in (select * from deep) group by 1)")
 def _(s, d):
     up = _closure(s, d)
-    return G.nearest_parent(up, _used(s, d), G.depths(up, ROOT), 1, 100)
+    return G.nearest_parent(up, _used(s, d), G.depths(up, _root(s, d)), 1, 100)
 
 
 @query("g05_all_parents", _UP + f", {_USED}, few as (select ancestor from up group by 1 having count(distinct node) between 1 and 50) select node, string_agg(ancestor, '|' order by ancestor) as parents from up where ancestor in (select id from used where id is not null) and ancestor in (select * from few) group by 1")
@@ -71,20 +78,15 @@ def _(s, d):
     return e.groupBy("parent").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("child")), "|").alias("children"))
 
 
-@query("g07_lowest_common_ancestor")
+@query("g07_lowest_common_ancestor", _UP + f""", grp as (select distinct entity_row_id g, trim(unnest(string_split(disease_mondo_termid, '|'))) node from {ENT}),
+grps as (select g, node from grp where node not in ('', '-1')), anc as (select g, grps.node, ancestor from grps join up on up.node = grps.node union select g, node, node from grps),
+ok as (select g, ancestor from anc group by 1, 2 having count(distinct node) = (select count(*) from grps x where x.g = anc.g)),
+deep as (select node, hops from up where ancestor = {_ROOT})
+select g as grp, arg_max(ok.ancestor, {{'d': coalesce(hops, 0), 'a': ok.ancestor}}) as common from ok left join deep on deep.node = ok.ancestor group by 1""")
 def _(s, d):
     up = _closure(s, d)
     groups = table(s, d, ENT).select(F.col("entity_row_id").alias("grp"), F.explode(C.tokens(F.col("disease_mondo_termid"))).alias("node")).where("node <> '-1'").distinct()
-    return G.lowest_common(up, groups, G.depths(up, ROOT))
-
-
-@query("f55_merge_with_parents", f"select entity_row_id, case when list_contains(a, b) or b = '' then list_aggregate(a, 'string_agg', '|') else list_aggregate(list_append(a, b), 'string_agg', '|') end as ids from (select entity_row_id, [x for x in string_split(disease_mondo_termid, '|')] a, coalesce(nearest_dataset_parent_label, '') b from {ENT} where disease_mondo_termid is not null and not contains(coalesce(nearest_dataset_parent_label, ''), '|') and not contains(disease_mondo_termid, '|'))")
-def _(s, d):
-    t = table(s, d, ENT).where("disease_mondo_termid is not null and not contains(coalesce(nearest_dataset_parent_label, ''), '|') and not contains(disease_mondo_termid, '|')")
-    one = lambda a: F.transform(a, lambda x: F.struct(x.alias("id")))
-    added = F.filter(F.array(F.coalesce("nearest_dataset_parent_label", F.lit(""))), lambda x: x != "")
-    both = C.ordered_union(one(F.split("disease_mondo_termid", r"\|")), one(added), "id")
-    return t.select("entity_row_id", F.array_join(both["id"], "|").alias("ids"))
+    return G.lowest_common(up, groups, G.depths(up, _root(s, d)))
 
 
 _PIECES = f"""with l as (select entity_row_id, string_split(coalesce(disease_mondo_termid, ''), '|') i, string_split(coalesce(disease_mondo_term_norm, ''), '|') n, string_split(coalesce(nearest_dataset_parent_label, ''), '|') p from {ENT}),
@@ -141,11 +143,16 @@ def _(s, d):
     return table(s, d, ANN).withColumn("k", F.lower(F.trim("animal_strain"))).join(n, "k", "left").select("annotation_row_id", "strain")
 
 
-@query("f14_strain_family")
+@query("f14_strain_family", rf"""with t as (select annotation_row_id, trim(animal_strain) o, regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim(animal_strain)), '-?TG\([^)]*\).*', ''), '\([^)]*\)', '', 'g'), '[^A-Z0-9/\s_-]', ' ', 'g'), '[\s_-]+', '', 'g') m,
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(animal_strain), '(?i)-?Tg\([^)]*\).*', ''), '\([^)]*\)', '', 'g'), '[^A-Za-z0-9/\s_-]', ' ', 'g'), '[\s_-]+', '', 'g') f from {ANN} where trim(animal_strain) <> ''),
+u as (select annotation_row_id, o, regexp_replace(m, '/+', '/', 'g') m, regexp_replace(regexp_replace(f, '/+', '/', 'g'), '/[A-Za-z]+$', '') f from t)
+select annotation_row_id, case when upper(o) in ('NOT REPORTED', 'UNLABELED', 'NAN', 'NONE', 'OTHER') then o
+when regexp_matches(m, '^C57/?B?L?/?\d') then 'C57BL/' || regexp_extract(m, '^C57/?B?L?/?(\d+)', 1) when regexp_matches(m, '^BALB/?C([^A-Z0-9_]|$)') then 'BALB/C' when regexp_matches(m, '^DBA/?\d') then 'DBA/' || regexp_extract(m, '^DBA/?(\d+)', 1)
+when m like 'FVB%' then 'FVB/N' when m like '129%' then '129' when regexp_matches(m, '^(CBA|NOD|C3H)(/[A-Z0-9]+)?$') then m[1:3] when regexp_matches(m, '^SJL(/[A-Z0-9]*)?$') then 'SJL'
+when regexp_matches(m, '^SPRAGUE[A-Z]{{0,6}}DAWLE?Y') then 'Sprague-Dawley' when m like 'WISTAR%' then 'Wistar' when regexp_matches(m, '^LONG[A-Z]{{0,6}}EVA[NS]{{1,2}}') then 'Long-Evans' when regexp_matches(m, '^(FISCHE?R?344|F344)') then 'Fischer' when regexp_matches(m, '^(LEWIS$|LEW($|[^A-Z]))') then 'Lewis' when m like 'SWISSALBINO%' then 'Swiss Albino'
+when regexp_matches(f, '^[^/]+/[^/]+') then regexp_extract(f, '^([^/]+/[^/]+)', 1) else f end as strain from u""")
 def _(s, d):
-    n = table(s, d, "strain_synonyms").groupBy(B.strain_key(F.col("synonym")).alias("k")).agg(F.min("strainname").alias("strain"))
-    t = table(s, d, ANN).where("animal_strain is not null").withColumn("k", B.strain_key(F.col("animal_strain")))
-    return t.join(n, "k", "left").select("annotation_row_id", F.coalesce("strain", F.trim("animal_strain")).alias("strain"))
+    return table(s, d, ANN).where("trim(animal_strain) <> ''").select("annotation_row_id", B.strain_family(F.col("animal_strain")).alias("strain"))
 
 
 _VEC = "(select vec_id, embedding::double[] e, label from embeddings)"
@@ -182,20 +189,24 @@ def _(s, d):
 
 
 
-@query("j14_title_similarity", f"with m as (select regexp_extract(pmid, '([1-9][0-9]*)', 1) k, meta_row_id i, lower(title) t from {META} where title is not null) select a.i as row_a, b.i as row_b, round(1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)), 6) as score from m a join m b on a.k = b.k and a.i < b.i where 1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)) >= 0.9")
+@query("j14_title_similarity", f"with m as (select {NUM} k, meta_row_id i, lower(title) t from {META} where title is not null) select a.i as row_a, b.i as row_b, round(1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)), 6) as score from m a join m b on a.k = b.k and a.i < b.i where 1 - levenshtein(a.t, b.t)::double / greatest(length(a.t), length(b.t)) >= 0.9")
 def _(s, d):
-    m = table(s, d, META).where("title is not null").select(F.regexp_extract("pmid", "([1-9][0-9]*)", 1).alias("k"), F.col("meta_row_id").alias("i"), F.lower("title").alias("t"))
+    """Versions of an article whose titles are alike. Rows without a readable article number meet nothing."""
+    m = table(s, d, META).where("title is not null").select(article(F.col("pmid")).alias("k"), F.col("meta_row_id").alias("i"), F.lower("title").alias("t")).where("k is not null")
     a, b = m.toDF("k", "row_a", "ta"), m.toDF("k", "row_b", "tb")
     score = L.similarity(F.col("ta"), F.col("tb"))
     return a.join(b, "k").where((F.col("row_a") < F.col("row_b")) & (score >= 0.9)).select("row_a", "row_b", F.round(score, 6).alias("score"))
 
 
-_PRED = "(select source t, case when n_chars > 1000 then 'fulltext_xml' when n_chars > 700 then 'fulltext_pdf' else 'pubmed_abstract' end s from documents where source is not null and n_chars is not null)"
+# What annotators say of blinding against what the article's texts say.
+_PRED = f"(select case when lower(trim(rigor_blinding)) = 'reported' then 'reported' else 'not reported' end t, case when regexp_matches(lower(text), 'blind') then 'reported' else 'not reported' end s from (select {NUM} k, rigor_blinding from {ANN}) a join (select {NUM} k, text from documents where text is not null) b using (k))"
 
 
 def _pred(s, d):
-    said = F.when(F.col("n_chars") > 1000, "fulltext_xml").when(F.col("n_chars") > 700, "fulltext_pdf").otherwise("pubmed_abstract")
-    return table(s, d, "documents").where("source is not null and n_chars is not null").select(F.col("source").alias("t"), said.alias("s"), "doc_id")
+    word = lambda c: F.when(c, "reported").otherwise("not reported")
+    notes = table(s, d, ANN).select(article(F.col("pmid")).alias("k"), "annotation_row_id", word(F.lower(F.trim("rigor_blinding")) == "reported").alias("t"))
+    texts = table(s, d, "documents").where("text is not null").select(article(F.col("pmid")).alias("k"), "doc_id", word(K.blinding(F.col("text")) == 1).alias("s"))
+    return notes.join(texts, "k")
 
 
 @query("e02_label_scores", f"with l as (select t x from {_PRED} union select s from {_PRED}), c as (select x, count(*) filter (where t = x and s = x) tp, count(*) filter (where t <> x and s = x) fp, count(*) filter (where t = x and s <> x) fn from l, {_PRED} p group by 1) select x as label, tp + fn as support, round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from c")
@@ -212,9 +223,9 @@ def _(s, d):
     return E.multilabel(t, "t", "p")
 
 
-@query("e04_confusion", f"select t, count(*) filter (where s = 'fulltext_xml') as fulltext_xml, count(*) filter (where s = 'fulltext_pdf') as fulltext_pdf, count(*) filter (where s = 'pubmed_abstract') as pubmed_abstract from {_PRED} group by 1")
+@query("e04_confusion", f"select t, count(*) filter (where s = 'reported') as reported, count(*) filter (where s = 'not reported') as not_reported from {_PRED} group by 1")
 def _(s, d):
-    return _pred(s, d).groupBy("t").pivot("s", ["fulltext_xml", "fulltext_pdf", "pubmed_abstract"]).count().na.fill(0)
+    return _pred(s, d).groupBy("t").pivot("s", ["reported", "not reported"]).count().na.fill(0).withColumnRenamed("not reported", "not_reported")
 
 
 @query("e05_keyword_scores", "with c as (select contains(lower(text), 'blind') p, contains(lower(text), 'observer') t from documents where text is not null), n as (select count(*) filter (where p and t) tp, count(*) filter (where p and not t) fp, count(*) filter (where t and not p) fn from c) select tp, fp, fn, round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from n")
@@ -240,7 +251,8 @@ def _(s, d):
 
 @query("e08_bootstrap")
 def _(s, d):
-    return E.bootstrap(_pred(s, d).withColumn("ok", (F.col("t") == F.col("s")).cast("int")), "doc_id", "ok", 200)
+    """Accuracy with its interval from 1,000 resamples."""
+    return E.bootstrap(_pred(s, d).select((F.col("annotation_row_id") * 1_000_003 + F.col("doc_id")).alias("i"), (F.col("t") == F.col("s")).cast("int").alias("ok")), "i", "ok", 1000)
 
 
 @query("m06_logistic_regression")

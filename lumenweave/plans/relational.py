@@ -55,9 +55,12 @@ def _(s, d):
     return table(s, d, META).where(R.contains(F.col("title"), "model of")).select("meta_row_id", "title")
 
 
-@query("pr08_keyword_routing", f"select route, count(*) as n from (select case when contains(lower(title), 'protects') then 'protects' when contains(lower(title), 'model') then 'model' when contains(lower(title), 'effects') then 'effects' when contains(lower(title), 'course') then 'course' end as route from {META}) group by 1")
+@query("pr08_keyword_routing", f"with one as (select k, arg_min(title, meta_row_id) as title from (select {NUM} k, meta_row_id, title from {META}) where k is not null and title is not null group by 1) select k, case when contains(lower(title), 'protects') then 'protects' when contains(lower(title), 'model') then 'model' when contains(lower(title), 'effects') then 'effects' when contains(lower(title), 'course') then 'course' else 'rest' end as route from one")
 def _(s, d):
-    return table(s, d, META).select(R.route(F.col("title"), ROUTES).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
+    """Each article once, by its first row with a title, under the first keyword it has; the rest too."""
+    rows = table(s, d, META).select(article(F.col("pmid")).alias("k"), "meta_row_id", "title").where("k is not null and title is not null")
+    one = rows.groupBy("k").agg(F.min_by("title", "meta_row_id").alias("title"))
+    return one.select("k", F.coalesce(R.route(F.col("title"), ROUTES), F.lit("rest")).alias("route"))
 
 
 @query("pr09_multi_pattern", f"with m as (select {NUM} as k, lower(title) t from {META}) select distinct k, label from (select k, case when regexp_matches(t, 'type [0-9]') then 'type' end as label from m union all select k, case when contains(t, 'late stage') then 'stage' end from m union all select k, case when regexp_matches(t, '\\bearly\\b') then 'early' end from m union all select k, case when contains(t, 'severe form') then 'severe' end from m) where label is not null")
@@ -274,14 +277,11 @@ def _(s, d):
     return R.first_source_wins(parts, "k", [F.col("doc_id")])
 
 
-@query("k01_multi_key_sort", f"select pair_row_id, preclinical_count, clinical_count, row_number() over (order by preclinical_count desc nulls last, clinical_count desc nulls last, pair_row_id) as place from {TR} order by place limit 500")
+@query("k01_multi_key_sort", f"select pair_row_id, preclinical_count, clinical_count, row_number() over (order by preclinical_count desc nulls last, clinical_count desc nulls last, pair_row_id) as place from {TR}")
 def _(s, d):
-    """The first 500 places: a top-k report, so that no global rank is needed."""
-    from pyspark.sql import Window
-
+    """Every row with its place."""
     order = [F.desc_nulls_last("preclinical_count"), F.desc_nulls_last("clinical_count"), F.asc("pair_row_id")]
-    top = table(s, d, TR).select("pair_row_id", "preclinical_count", "clinical_count").orderBy(*order).limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return R.numbered(table(s, d, TR).select("pair_row_id", "preclinical_count", "clinical_count"), order, "place")
 
 
 @query("k02_top_n", f"select journal_name, count(*) as n from {META} where journal_name is not null group by 1 order by n desc, journal_name limit 20")
@@ -339,6 +339,16 @@ def _(s, d):
     return R.split_ways(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
+@query("s21_contiguous_split", "select o_orderkey, case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end::int as part from (select o_orderkey, row_number() over (order by o_orderkey) - 1 i, count(*) over () // 7 q, count(*) over () % 7 r from orders)")
+def _(s, d):
+    return R.split_runs(table(s, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], parts=7)
+
+
+@query("s21_fixed_size_split", "select o_orderkey, ((row_number() over (order by o_orderkey) - 1) // 1000)::int as part from orders")
+def _(s, d):
+    return R.split_runs(table(s, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], size=1000)
+
+
 @query("s23_checkpoint_resume", "select doc_id, coalesce(lang, source) as lang, false as pending from documents where lang is not null or doc_id % 3 <> 0 union all select doc_id, null, true from documents where lang is null and doc_id % 3 = 0")
 def _(s, d):
     docs = table(s, d, "documents")

@@ -27,11 +27,15 @@ def read_strings(spark: SparkSession, path: str, columns: Sequence[str], header:
     return read_csv(spark, path, ", ".join(f"`{c}` string" for c in columns), header)
 
 
-def read_records(spark: SparkSession, path: str | list[str], fields: Sequence[str], sep: str = "|||") -> DataFrame:
-    """Lines of fields parted by ``sep``; lines with another number of fields are dropped; ``N/A`` is null. ``chunk`` is the file."""
+def read_records(spark: SparkSession, path: str | list[str], fields: Sequence[str], sep: str = "|||", only: DataFrame | None = None) -> DataFrame:
+    """Lines of fields parted by ``sep``; lines with another number of fields are dropped; ``N/A`` is null. ``chunk`` is the file.
+
+    ``only`` keeps the records whose first field is among its first column.
+    """
     parts = F.split("value", re.escape(sep))
     rows = spark.read.text(path).select(parts.alias("f"), F.col("_metadata.file_name").alias("chunk")).where(F.size("f") == len(fields))
-    return rows.select(*[F.nullif(F.col("f")[i], F.lit("N/A")).alias(n) for i, n in enumerate(fields)], "chunk")
+    out = rows.select(*[F.nullif(F.col("f")[i], F.lit("N/A")).alias(n) for i, n in enumerate(fields)], "chunk")
+    return out if only is None else out.join(only.select(F.col(only.columns[0]).alias(fields[0])).distinct(), fields[0], "left_semi")
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,13 +45,20 @@ def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_any(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """JSON Lines, or one array of records a file: told apart by the first character of each file."""
+    """JSON Lines, or one array of records a file: told apart by the first character of each file.
+
+    Only the first line of each file is needed to tell them apart, so lines are read as lines, in splits, and only files that hold an array
+    are read whole, one file a row.
+    """
     struct = T._parse_datatype_string(schema).simpleString()
-    whole = spark.read.text(path, wholetext=True)
-    is_array = F.ltrim("value").startswith("[")
-    one = whole.where(is_array).select(F.explode(F.from_json("value", f"array<{struct}>")).alias("r"))
-    lines = whole.where(~is_array).select(F.explode(F.split("value", "\n")).alias("line")).where("trim(line) <> ''").select(F.from_json("line", struct).alias("r"))
-    return one.union(lines).select("r.*")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    heads = lines.where((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.bool_or(F.ltrim("value").rlike(r"^\[\s*(?:\{|\]|$)")).alias("array"))
+    arrays = [r["file"] for r in heads.where("array").collect()]
+    one = lines.where(~F.col("file").isin(arrays) if arrays else F.lit(True)).where("trim(value) <> ''").select(F.from_json("value", struct).alias("r"))
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True)
+        one = one.union(whole.select(F.explode(F.from_json("value", f"array<{struct}>")).alias("r")))
+    return one.select("r.*")
 
 
 def read_zipped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -151,5 +162,8 @@ def write_zstd(df: DataFrame, path: str) -> None:
 
 
 def write_by_key(df: DataFrame, path: str, key: str) -> None:
-    """One folder a key; rows of a key are gathered before, so that it has few files, but a large key may have several."""
-    df.withColumn("__salt", F.floor(F.rand(7) * 4)).repartition(key, "__salt").drop("__salt").write.partitionBy(key).parquet(path, mode="overwrite")
+    """One folder a key; rows of a key are gathered before, so that it has few files, but a large key may have several.
+
+    Rows are dealt by the hash of all their columns, so a task that runs again gets the same ones.
+    """
+    df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(4))).repartition(key, "__salt").drop("__salt").write.partitionBy(key).parquet(path, mode="overwrite")
