@@ -36,6 +36,19 @@ def multilabel(df: DataFrame, truth: str, said: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *prf(tp, fp, fn), F.round(F.avg(((F.col("fp") + F.col("fn")) == 0).cast("double")), 6).alias("subset_accuracy"), F.round(F.avg("j"), 6).alias("jaccard"), F.round(F.avg((F.col("tp") > 0).cast("double")), 6).alias("any_overlap"))
 
 
+def multilabel_averages(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """Macro and weighted precision, recall and F1 of arrays of labels: average, labels and scores. Counts per label are summed first."""
+    t, s = F.array_distinct(truth), F.array_distinct(said)
+    rows = df.where(F.col(truth).isNotNull() & F.col(said).isNotNull()).select(F.explode(F.array_union(t, s)).alias("label"), t.alias("t"), s.alias("s"))
+    a, b = F.array_contains("t", F.col("label")), F.array_contains("s", F.col("label"))
+    g = rows.groupBy("label").agg(F.count_if(a & b).alias("tp"), F.count_if(~a & b).alias("fp"), F.count_if(a & ~b).alias("fn"))
+    one = g.select((F.col("tp") + F.col("fn")).alias("w"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("p"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("r"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    weighted = lambda c: F.round(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 6)
+    both = one.agg(F.count("*").alias("labels"), F.array(*[F.struct(F.lit(n).alias("average"), f("p").alias("precision"), f("r").alias("recall"), f("f").alias("f1")) for n, f in (("macro", mean), ("weighted", weighted))]).alias("x"))
+    return both.select("labels", F.inline("x"))
+
+
 def sweep(df: DataFrame, distance: str, right: str, thresholds: list[float]) -> DataFrame:
     """Scores if links beyond each threshold are undone. ``right`` says whether a link is right. One scan for all thresholds."""
     rows = df.select(F.col(distance).alias("d"), F.col(right).alias("ok"))

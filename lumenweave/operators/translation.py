@@ -82,3 +82,47 @@ def pair_features(evidence: DataFrame) -> DataFrame:
         F.max("year").alias("last_paper"),
     )
     return g.where("clinical_count > 0").withColumn("status", F.when(F.col("any_phase4") | F.col("completed_phase3"), "approved").otherwise("failed"))
+
+
+def percent(a: Column, b: Column) -> Column:
+    return F.round(F.coalesce(F.try_divide(F.lit(100.0) * a, b), F.lit(0.0)), 4)
+
+
+def reach(entities: DataFrame, with_approvals: bool) -> DataFrame:
+    """How far what was studied in animals got, as one row.
+
+    ``entities``: one row for each drug or pair, with n (preclinical rows, above 0), clinical, late (a completed phase 3, a phase 4 or an
+    approval, among clinical ones), approved, linked. Frequent are those with several rows, or with one and clinical (or, with
+    ``with_approvals``, approved alone). Approved without clinical evidence counts as reached and late, but not among the linked.
+    """
+    one = lambda c: F.coalesce(c, F.lit(False))
+    clinical, late, approved, linked = (one(F.col(c)) for c in ("clinical", "late", "approved", "linked"))
+    only = approved & ~clinical
+    frequent = (F.col("n") > 1) | clinical | (only if with_approvals else F.lit(False))
+    n = {
+        "total": F.count("*"),
+        "frequent": F.count_if(frequent),
+        "linked": F.count_if(linked),
+        "frequent_linked": F.count_if(frequent & linked),
+        "approved_only": F.count_if(only),
+        "reached": F.count_if(clinical | only),
+        "reached_linked": F.count_if(clinical & linked),
+        "late": F.count_if((clinical & late) | only),
+        "late_linked": F.count_if(clinical & late & linked),
+        "approved": F.count_if(approved),
+        "reached_often": F.count_if(clinical & (F.col("n") > 1)),
+    }
+    over = [("reached", "total"), ("reached", "frequent"), ("reached_linked", "linked"), ("reached_linked", "frequent_linked"), ("late", "total"), ("late", "frequent"), ("late_linked", "linked"), ("late_linked", "frequent_linked"), ("approved", "total"), ("approved", "frequent")]
+    sums = entities.agg(*[v.alias(k) for k, v in n.items()])
+    return sums.select("*", *[percent(F.col(a), F.col(b)).alias(f"pct_{a}_of_{b}") for a, b in over])
+
+
+def reach_by_drug(pairs: DataFrame, drug: str) -> DataFrame:
+    """Mean over drugs of the share of their pairs that reached each end, in percent, and how many drugs: of all pairs and of the frequent."""
+    one = lambda c: F.coalesce(F.col(c), F.lit(False))
+    only = one("approved") & ~one("clinical")
+    ends = {"any": one("clinical") | only, "late": (one("clinical") & one("late")) | only, "approved": one("approved")}
+    often = (F.col("n") > 1) | one("clinical")
+    g = pairs.groupBy(drug).agg(F.count("*").alias("k_all"), F.count_if(often).alias("k_frequent"), *[F.count_if(c).alias(f"{e}_all") for e, c in ends.items()], *[F.count_if(c & often).alias(f"{e}_frequent") for e, c in ends.items()])
+    share = lambda e, w: F.round(F.coalesce(F.avg(F.try_divide(100.0 * F.col(f"{e}_{w}"), F.col(f"k_{w}"))), F.lit(0.0)), 4).alias(f"macro_{e}_{w}")
+    return g.agg(*[share(e, w) for e in ends for w in ("all", "frequent")], *[F.count_if(F.col(f"k_{w}") > 0).alias(f"drugs_{w}") for w in ("all", "frequent")])

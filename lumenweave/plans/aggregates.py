@@ -121,21 +121,21 @@ def _(s, d):
 
 
 _RIGOR = f"""
-with a as (select {NUM} k, max((rigor_blinding = 'reported')::int) b, max((rigor_randomization = 'reported')::int) r from {ANN} group by 1),
+with a as (select {NUM} k, max((rigor_blinding = 'reported')::int) b, max((rigor_randomization = 'reported')::int) r, max((rigor_welfare = 'reported')::int) w from {ANN} group by 1),
 t as (select distinct merged_umls_label drug, try_cast(trim(doc) as bigint) k from (select merged_umls_label, unnest(preclinical_doc_ids) doc from {TR}))
 """
 
 
 def _rigor(s, d):
     f = lambda c: F.max((F.col(c) == "reported").cast("int"))
-    a = table(s, d, ANN).groupBy(article(F.col("pmid")).alias("k")).agg(f("rigor_blinding").alias("b"), f("rigor_randomization").alias("r"))
+    a = table(s, d, ANN).groupBy(article(F.col("pmid")).alias("k")).agg(f("rigor_blinding").alias("b"), f("rigor_randomization").alias("r"), f("rigor_welfare").alias("w"))
     t = table(s, d, TR).select(F.col("merged_umls_label").alias("drug"), F.explode("preclinical_doc_ids").alias("x")).select("drug", F.trim("x").try_cast("bigint").alias("k")).distinct()
     return t.join(a, "k")
 
 
-@query("a16_rigor_counts", _RIGOR + "select drug, count(*) as articles, coalesce(sum(b), 0)::bigint as blinded, coalesce(sum(r), 0)::bigint as randomized from t join a using (k) group by 1")
+@query("a16_rigor_counts", _RIGOR + "select drug, count(*) as articles, coalesce(sum(b), 0)::bigint as blinded, coalesce(sum(r), 0)::bigint as randomized, coalesce(sum(w), 0)::bigint as welfare from t join a using (k) group by 1")
 def _(s, d):
-    return _rigor(s, d).groupBy("drug").agg(F.count("*").alias("articles"), F.coalesce(F.sum("b"), F.lit(0)).alias("blinded"), F.coalesce(F.sum("r"), F.lit(0)).alias("randomized"))
+    return _rigor(s, d).groupBy("drug").agg(F.count("*").alias("articles"), F.coalesce(F.sum("b"), F.lit(0)).alias("blinded"), F.coalesce(F.sum("r"), F.lit(0)).alias("randomized"), F.coalesce(F.sum("w"), F.lit(0)).alias("welfare"))
 
 
 @query("a17_any_percent", _RIGOR + "select count(*) as drugs, round(100.0 * count(*) filter (where m > 0) / count(*), 4) as percent_any from (select drug, greatest(coalesce(max(b), 0), coalesce(max(r), 0)) m from t join a using (k) group by 1)")
@@ -145,30 +145,45 @@ def _(s, d):
 
 
 _HET = f"""
-with a as (select {NUM} k, nullif(nullif(lower(trim(animal_sex)), 'not reported'), '') sex, nullif(nullif(nullif(lower(trim(animal_species)), 'not reported'), ''), 'unlabeled') species, nullif(nullif(lower(trim(first_author_country)), 'not reported'), '') country from {ANN}),
+with a as (select {NUM} k, nullif(nullif(lower(trim(animal_sex)), 'not reported'), '') sex, nullif(nullif(nullif(lower(trim(animal_species)), 'not reported'), ''), 'unlabeled') species, nullif(nullif(lower(trim(first_author_country)), 'not reported'), '') country,
+    nullif(nullif(nullif(lower(trim(animal_strain)), 'not reported'), ''), 'unlabeled') strain, [trim(x) for x in string_split(lower(assay_type), ',') if trim(x) not in ('', 'not reported', 'unlabeled')] assay,
+    coalesce((rigor_blinding = 'reported')::int, 0) + coalesce((rigor_randomization = 'reported')::int, 0) + coalesce((rigor_welfare = 'reported')::int, 0) flags from {ANN}),
 t as (select distinct normalized_key pair, try_cast(trim(doc) as bigint) k from (select normalized_key, unnest(preclinical_doc_ids) doc from {TR})),
-f as (select pair, count(distinct k) articles, bool_or(sex = 'both') or (bool_or(sex = 'male') and bool_or(sex = 'female')) both_sexes, count(distinct species) species, count(distinct country) countries from t join a using (k) group by 1)
+f as (select pair, count(distinct k) articles, bool_or(sex = 'both') or (bool_or(sex = 'male') and bool_or(sex = 'female')) both_sexes, count(distinct species) species, count(distinct country) countries, count(distinct strain) strains, coalesce(len(list_distinct(flatten(list(assay) filter (where assay is not null)))), 0) assays, count(distinct k) filter (where flags >= 2) rigorous from t join a using (k) group by 1)
 """
 
 
 def heterogeneity(s, d):
     clean = lambda c: F.when(~F.lower(F.trim(c)).isin("not reported", "", "unlabeled"), F.lower(F.trim(c)))
-    a = table(s, d, ANN).select(article(F.col("pmid")).alias("k"), clean("animal_sex").alias("sex"), clean("animal_species").alias("species"), clean("first_author_country").alias("country"))
+    assay = F.filter(F.transform(F.split(F.lower("assay_type"), ","), lambda x: F.trim(x)), lambda x: ~x.isin("", "not reported", "unlabeled"))
+    flags = sum((F.coalesce((F.col(f"rigor_{c}") == "reported").cast("int"), F.lit(0)) for c in ("blinding", "randomization", "welfare")), F.lit(0))
+    a = table(s, d, ANN).select(article(F.col("pmid")).alias("k"), clean("animal_sex").alias("sex"), clean("animal_species").alias("species"), clean("first_author_country").alias("country"), clean("animal_strain").alias("strain"), assay.alias("assay"), flags.alias("flags"))
     t = table(s, d, TR).select(F.col("normalized_key").alias("pair"), F.explode("preclinical_doc_ids").alias("x")).select("pair", F.trim("x").try_cast("bigint").alias("k")).distinct()
     has = lambda v: F.coalesce(F.bool_or(F.col("sex") == v), F.lit(False))
-    return t.join(a, "k").groupBy("pair").agg(F.countDistinct("k").alias("articles"), (has("both") | (has("male") & has("female"))).alias("both_sexes"), F.countDistinct("species").alias("species"), F.countDistinct("country").alias("countries"))
+    return t.join(a, "k").groupBy("pair").agg(
+        F.countDistinct("k").alias("articles"), (has("both") | (has("male") & has("female"))).alias("both_sexes"), F.countDistinct("species").alias("species"), F.countDistinct("country").alias("countries"),
+        F.countDistinct("strain").alias("strains"), F.size(F.array_distinct(F.flatten(F.collect_set("assay")))).cast("bigint").alias("assays"), F.countDistinct(F.when(F.col("flags") >= 2, F.col("k"))).alias("rigorous"),
+    )
 
 
-@query("a18_heterogeneity", _HET + "select pair, articles, coalesce(both_sexes, false) as both_sexes, species, countries from f")
+@query("a18_heterogeneity", _HET + "select pair, articles, coalesce(both_sexes, false) as both_sexes, species, countries, strains, assays, rigorous from f")
 def _(s, d):
     return heterogeneity(s, d)
 
 
-@query("a19_contrast", _HET + f", s as (select normalized_key pair, bool_or(coalesce(at_least_one_phase4, false)) up from {TR} group by 1) select 'articles' as feature, round(avg(articles) filter (where up), 4) as reached, round(avg(articles) filter (where not up), 4) as failed from f join s using (pair) union all select 'species', round(avg(species) filter (where up), 4), round(avg(species) filter (where not up), 4) from f join s using (pair) union all select 'countries', round(avg(countries) filter (where up), 4), round(avg(countries) filter (where not up), 4) from f join s using (pair)")
+_UP = f", s as (select normalized_key pair, bool_or(coalesce(at_least_one_phase4, false)) up from {TR} group by 1), v as (select up, unnest(['articles', 'species', 'countries', 'strains', 'assays', 'rigorous']) feature, unnest([articles, species, countries, strains, assays, rigorous])::double x from f join s using (pair))"
+
+
+@query("a19_contrast", _HET + _UP + ", m as (select feature, avg(x) filter (where up) a, avg(x) filter (where not up) b, stddev_samp(x) filter (where up) sa, stddev_samp(x) filter (where not up) sb from v group by 1) select feature, round(a, 4) as reached, round(b, 4) as failed, round(100.0 * (a - b) / b, 4) as percent_more, printf('%.2f (%.2f)', round(a, 2), round(sa, 2)) as reached_cell, printf('%.2f (%.2f)', round(b, 2), round(sb, 2)) as failed_cell from m")
 def _(s, d):
+    """Mean of each feature of pairs that reached a phase 4 and of the others, the difference in percent, and cells for a table."""
+    names = ["articles", "species", "countries", "strains", "assays", "rigorous"]
     up = table(s, d, TR).groupBy(F.col("normalized_key").alias("pair")).agg(F.bool_or(F.coalesce("at_least_one_phase4", F.lit(False))).alias("up"))
-    long = heterogeneity(s, d).join(up, "pair").select("up", "articles", "species", "countries").unpivot(["up"], ["articles", "species", "countries"], "feature", "v")
-    return long.groupBy("feature").agg(F.round(F.avg(F.when(F.col("up"), F.col("v"))), 4).alias("reached"), F.round(F.avg(F.when(~F.col("up"), F.col("v"))), 4).alias("failed"))
+    long = heterogeneity(s, d).join(up, "pair").select("up", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["up"], names, "feature", "v")
+    side = lambda f, yes: f(F.when(F.col("up") if yes else ~F.col("up"), F.col("v")))
+    m = long.groupBy("feature").agg(side(F.avg, True).alias("a"), side(F.avg, False).alias("b"), side(F.stddev_samp, True).alias("sa"), side(F.stddev_samp, False).alias("sb"))
+    cell = lambda x, y: F.format_string("%.2f (%.2f)", F.round(x, 2), F.round(y, 2))
+    return m.select("feature", F.round("a", 4).alias("reached"), F.round("b", 4).alias("failed"), F.round(100.0 * F.try_divide(F.col("a") - F.col("b"), F.col("b")), 4).alias("percent_more"), cell("a", "sa").alias("reached_cell"), cell("b", "sb").alias("failed_cell"))
 
 
 _T = "trim(regexp_replace(lower({0}), '[\\s\\x{{a0}}]+', ' ', 'g'))"
@@ -182,17 +197,48 @@ def _reach(s, d):
     )
 
 
-@query("a20_drug_reach", _REACH + " select count(*) as drugs, count(*) filter (where c > 0) as clinical, count(*) filter (where fda) as approved, count(*) filter (where n > 1 or c > 0 or fda) as frequent, round(100.0 * count(*) filter (where c > 0 or fda) / count(*), 4) as percent_reached from (select drug, sum(c) c, sum(n) n, bool_or(fda) fda from f group by 1)")
+_ENDS = f"""with f as (select {_T.format('merged_umls_label')} drug, {_T.format('merged_mondo_label')} dis, sum(coalesce(preclinical_count, 0)) n, bool_or(coalesce(clinical_count, 0) > 0) c,
+    bool_or(coalesce(at_least_one_phase4, false) or coalesce(at_least_one_phase3, false)) late, bool_or(fda_earliest_year is not null) ap, bool_or(coalesce(merged_umls_termid, '-1') <> '-1') ld, bool_or(coalesce(merged_mondo_termid, '-1') <> '-1') ls
+    from {TR} where merged_umls_label is not null and merged_mondo_label is not null group by 1, 2 having sum(coalesce(preclinical_count, 0)) > 0)"""
+
+
+def _reach_sql(rows: str, often: str) -> str:
+    n = {
+        "total": "count(*)", "frequent": f"count(*) filter (where {often})", "linked": "count(*) filter (where l)", "frequent_linked": f"count(*) filter (where l and ({often}))", "approved_only": "count(*) filter (where ap and not c)",
+        "reached": "count(*) filter (where c or ap)", "reached_linked": "count(*) filter (where c and l)", "late": "count(*) filter (where (c and (late or ap)) or ap)", "late_linked": "count(*) filter (where c and (late or ap) and l)",
+        "approved": "count(*) filter (where ap)", "reached_often": "count(*) filter (where c and n > 1)",
+    }
+    over = "reached/total reached/frequent reached_linked/linked reached_linked/frequent_linked late/total late/frequent late_linked/linked late_linked/frequent_linked approved/total approved/frequent".split()
+    shares = ", ".join("round(coalesce(100.0::double * {0} / nullif({1}, 0), 0), 4) as pct_{0}_of_{1}".format(*x.split("/")) for x in over)
+    return f", g as (select {', '.join(f'{v} as {k}' for k, v in n.items())} from {rows}) select *, {shares} from g"
+
+
+def _ends(s, d):
+    t = table(s, d, TR).where("merged_umls_label is not null and merged_mondo_label is not null")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    linked = lambda c: F.bool_or(F.coalesce(F.col(c), F.lit("-1")) != "-1")
+    g = t.groupBy(term(F.col("merged_umls_label")).alias("drug"), term(F.col("merged_mondo_label")).alias("dis")).agg(
+        F.sum(F.coalesce("preclinical_count", F.lit(0))).alias("n"), F.bool_or(F.coalesce("clinical_count", F.lit(0)) > 0).alias("clinical"), F.bool_or(yes("at_least_one_phase4") | yes("at_least_one_phase3")).alias("late"),
+        F.bool_or(F.col("fda_earliest_year").isNotNull()).alias("approved"), linked("merged_umls_termid").alias("drug_linked"), linked("merged_mondo_termid").alias("disease_linked"),
+    )
+    return g.where("n > 0").withColumn("late", F.col("late") | F.col("approved"))
+
+
+@query("a20_drug_reach", _ENDS + ", e as (select drug, sum(n) n, bool_or(c) c, bool_or(late and c) late, bool_or(ap) ap, bool_or(ld) l from f group by 1)" + _reach_sql("e", "n > 1 or c or ap"))
+def _(s, d):
+    e = _ends(s, d).groupBy("drug").agg(F.sum("n").alias("n"), F.bool_or("clinical").alias("clinical"), F.bool_or(F.col("late") & F.col("clinical")).alias("late"), F.bool_or("approved").alias("approved"), F.bool_or("drug_linked").alias("linked"))
+    return T.reach(e.withColumn("late", F.col("late") | F.col("approved")), True)
+
+
+@query("a21_pair_reach", _ENDS + ", e as (select *, ld and ls l from f)" + _reach_sql("e", "n > 1 or c"))
 def _(s, d):
-    g = _reach(s, d).groupBy("drug").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.bool_or("fda").alias("fda"))
-    seen = (F.col("c") > 0) | F.col("fda")
-    return g.agg(F.count("*").alias("drugs"), F.count_if(F.col("c") > 0).alias("clinical"), F.count_if("fda").alias("approved"), F.count_if((F.col("n") > 1) | seen).alias("frequent"), F.round(100.0 * F.count_if(seen) / F.count("*"), 4).alias("percent_reached"))
+    return T.reach(_ends(s, d).withColumn("linked", F.col("drug_linked") & F.col("disease_linked")), False)
 
 
-@query("a21_pair_reach_macro", _REACH + " select count(*) as drugs, sum(k)::bigint as pairs, sum(up)::bigint as reached, round(avg(up::double / k), 6) as macro_average from (select drug, count(*) k, count(*) filter (where p4 or fda) up from f group by 1)")
+@query("a21_pair_reach_macro", _ENDS + """, g as (select drug, count(*) k, count(*) filter (where n > 1 or c) kf, count(*) filter (where c or ap) a1, count(*) filter (where (c or ap) and (n > 1 or c)) a2, count(*) filter (where (c and late) or ap) l1, count(*) filter (where ((c and late) or ap) and (n > 1 or c)) l2, count(*) filter (where ap) p1, count(*) filter (where ap and (n > 1 or c)) p2 from f group by 1)
+select round(avg(100.0::double * a1 / k), 4) as macro_any_all, round(coalesce(avg(100.0::double * a2 / nullif(kf, 0)), 0), 4) as macro_any_frequent, round(avg(100.0::double * l1 / k), 4) as macro_late_all, round(coalesce(avg(100.0::double * l2 / nullif(kf, 0)), 0), 4) as macro_late_frequent, round(avg(100.0::double * p1 / k), 4) as macro_approved_all, round(coalesce(avg(100.0::double * p2 / nullif(kf, 0)), 0), 4) as macro_approved_frequent, count(*) as drugs_all, count(*) filter (where kf > 0) as drugs_frequent from g""")
 def _(s, d):
-    g = _reach(s, d).groupBy("drug").agg(F.count("*").alias("k"), F.count_if(F.col("p4") | F.col("fda")).alias("up"))
-    return g.agg(F.count("*").alias("drugs"), F.sum("k").alias("pairs"), F.sum("up").alias("reached"), F.round(F.avg(F.col("up") / F.col("k")), 6).alias("macro_average"))
+    return T.reach_by_drug(_ends(s, d), "drug")
 
 
 @query("a22_singleton_rule", _REACH + " select drug, dis, case when n > 1 then 'many' when c > 0 then 'one, clinical' else 'one, approved' end as kept from f where n > 1 or (n = 1 and c > 0) or (n = 1 and fda)")
@@ -201,11 +247,18 @@ def _(s, d):
     return f.select("drug", "dis", F.when(F.col("n") > 1, "many").when(F.col("c") > 0, "one, clinical").otherwise("one, approved").alias("kept"))
 
 
-@query("a23_retrieval_coverage", f"with a as (select distinct {NUM} k from {ENT}), b as (select distinct {NUM} k from documents where source <> 'pubmed_abstract') select count(*) as wanted, count(*) filter (where k in (select k from b where k is not null)) as retrieved from a where k is not null")
+@query("a23_retrieval_coverage", f"with a as (select distinct {NUM} k from {ENT}), b as (select {NUM} k, source, text from documents where source <> 'pubmed_abstract'), g as (select k, count(*) filter (where text is not null and trim(text) <> '') n, bool_or(source = 'fulltext_xml' and text is not null) x from b where k is not null group by 1) select count(*) as wanted, count(g.k) as retrieved, count(*) filter (where n > 0) as with_text, count(*) filter (where x) as as_xml, count(*) - count(g.k) as missing, round(100.0::double * count(g.k) / count(*), 4) as percent_retrieved, round(100.0::double * count(*) filter (where n > 0) / count(*), 4) as percent_with_text, (select count(*) from g where k not in (select k from a where k is not null)) as not_wanted from a left join g using (k) where a.k is not null")
 def _(s, d):
-    a = table(s, d, ENT).select(article(F.col("pmid")).alias("k")).where("k is not null").distinct()
-    b = table(s, d, "documents").where("source <> 'pubmed_abstract'").select(article(F.col("pmid")).alias("k"), F.lit(1).alias("got")).distinct()
-    return a.join(b, "k", "left").agg(F.count("*").alias("wanted"), F.count("got").alias("retrieved"))
+    """Wanted articles against full texts: one full join, so that what nobody wanted is counted too."""
+    a = table(s, d, ENT).select(article(F.col("pmid")).alias("k")).where("k is not null").distinct().withColumn("want", F.lit(True))
+    b = table(s, d, "documents").where("source <> 'pubmed_abstract'").select(article(F.col("pmid")).alias("k"), "source", "text").where("k is not null")
+    some = F.col("text").isNotNull() & (F.trim("text") != "")
+    g = b.groupBy("k").agg(F.count_if(some).alias("n"), F.bool_or((F.col("source") == "fulltext_xml") & F.col("text").isNotNull()).alias("x"))
+    f = a.join(g, "k", "full")
+    want, got = F.col("want").isNotNull(), F.col("n").isNotNull()
+    c = f.agg(F.count_if(want).alias("wanted"), F.count_if(want & got).alias("retrieved"), F.count_if(want & (F.col("n") > 0)).alias("with_text"), F.count_if(want & F.coalesce("x", F.lit(False))).alias("as_xml"), F.count_if(want & ~got).alias("missing"), F.count_if(~want).alias("not_wanted"))
+    share = lambda x: F.round(F.try_divide(100.0 * F.col(x), F.col("wanted")), 4)
+    return c.select("*", share("retrieved").alias("percent_retrieved"), share("with_text").alias("percent_with_text"))
 
 
 @query("a24_attrition_funnel", f"with k as (select distinct {NUM} k from {META} where {NUM} is not null), f as (select k, k in (select {NUM} from {ENT} where {NUM} is not null) e, k in (select {NUM} from {ANN} where {NUM} is not null) a, k in (select {NUM} from documents where {NUM} is not null) d from k), n as (select count(*) n0, count(*) filter (where e) n1, count(*) filter (where e and a) n2, count(*) filter (where e and a and d) n3 from f) select 1 as stage, 'entities' as name, n1 as kept, n0 - n1 as lost, round(n1::double / n0, 6) as fraction from n union all select 2, 'annotations', n2, n1 - n2, round(n2::double / n0, 6) from n union all select 3, 'documents', n3, n2 - n3, round(n3::double / n0, 6) from n")
@@ -221,10 +274,20 @@ def _(s, d):
 _LINK = f"(select entity_row_id, string_split(drug_umls_term_norm, '|') a, string_split(drug_umls_termid, '|') b from {ENT})"
 
 
-@query("a25_linking_report", f"select count(*) as row_count, count(*) filter (where len(a) <> len(b)) as misfit, sum(len(a))::bigint as mentions, sum(len([x for x in b if trim(x) = '-1']))::bigint as unlinked from {_LINK} where a is not null and b is not null")
+_MENTIONS = f"(select lower(trim(a[i])) x, trim(b[i]) id from {_LINK}, unnest(range(1, least(len(a), len(b)) + 1)) r(i) where a is not null and b is not null)"
+
+
+@query("a25_linking_report", f"with m as (select x, id from {_MENTIONS} where x <> ''), t as (select x, count(*) n, bool_or(id <> '-1') up from m group by 1), c as (select id, count(*) n from m where id <> '-1' group by 1) select (select count(*) from m) as mentions, (select count(*) from m where id <> '-1') as linked_mentions, (select count(*) from t) as terms, (select count(*) from t where up) as linked_terms, (select count(*) from t where not up) as unlinked_terms, (select count(*) from t where n = 1) as singletons, (select count(*) from t where n = 1 and not up) as unlinked_singletons, (select count(*) from c) as concepts, round(100.0::double * (select count(*) from m where id <> '-1') / (select count(*) from m), 4) as percent_mentions_linked, round(100.0::double * (select count(*) from t where up) / (select count(*) from t), 4) as percent_terms_linked, round((select count(*) from t where up)::double / (select count(*) from c), 4) as terms_a_concept")
 def _(s, d):
-    t = table(s, d, ENT).select(F.split("drug_umls_term_norm", r"\|").alias("a"), F.split("drug_umls_termid", r"\|").alias("b")).where("a is not null and b is not null")
-    return t.agg(F.count("*").alias("row_count"), F.count_if(F.size("a") != F.size("b")).alias("misfit"), F.sum(F.size("a")).alias("mentions"), F.sum(F.size(F.filter("b", lambda x: F.trim(x) == "-1"))).alias("unlinked"))
+    """Mentions, terms and concepts, linked and not: pairs of term and id are counted first, so later steps see each pair once."""
+    rows = table(s, d, ENT).select(F.arrays_zip(F.split("drug_umls_term_norm", r"\|").alias("a"), F.split("drug_umls_termid", r"\|").alias("b")).alias("z")).select(F.explode("z").alias("z"))
+    pairs = rows.where("z.a is not null and z.b is not null").select(F.lower(F.trim("z.a")).alias("x"), F.trim("z.b").alias("id")).where("x <> ''").groupBy("x", "id").agg(F.count("*").alias("n"))
+    up = F.col("id") != "-1"
+    t = pairs.groupBy("x").agg(F.sum("n").alias("n"), F.sum(F.when(up, F.col("n")).otherwise(0)).alias("linked"), F.bool_or(up).alias("up"))
+    g = t.agg(F.sum("n").alias("mentions"), F.sum("linked").alias("linked_mentions"), F.count("*").alias("terms"), F.count_if("up").alias("linked_terms"), F.count_if(~F.col("up")).alias("unlinked_terms"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if((F.col("n") == 1) & ~F.col("up")).alias("unlinked_singletons"))
+    c = pairs.where(up).agg(F.countDistinct("id").alias("concepts"))
+    share = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)), 4)
+    return g.crossJoin(c).select("*", share("linked_mentions", "mentions").alias("percent_mentions_linked"), share("linked_terms", "terms").alias("percent_terms_linked"), F.round(F.try_divide(F.col("linked_terms").cast("double"), F.col("concepts")), 4).alias("terms_a_concept"))  # one row each
 
 
 @query("a26_unlinked_singletons", f"with m as (select trim(unnest(a)) x, trim(unnest(b)) i from {_LINK} where len(a) = len(b)), c as (select x, count(*) n, bool_and(i = '-1') un from m group by 1) select count(*) filter (where un) as unlinked_terms, count(*) filter (where un and n = 1) as singletons, round(coalesce(100.0 * count(*) filter (where un and n = 1) / nullif(count(*) filter (where un), 0), 0), 4) as percent from c")
@@ -311,6 +374,19 @@ def _(s, d):
     return part.groupBy("disease", "phrase").agg(F.sum("n").alias("docs"), F.array_join(F.transform(three, lambda x: x.cast("string")), "|").alias("examples"))
 
 
+@query("a35_formats_by_year", "select year(loaded_at)::int as year, count(*) as documents, round(avg((source = 'fulltext_xml')::int), 6) as xml, round(avg((source = 'fulltext_html')::int), 6) as html, round(avg((source = 'fulltext_pdf')::int), 6) as pdf, round(avg((source = 'plain')::int), 6) as plain from documents where loaded_at is not null and source is not null group by 1")
+def _(s, d):
+    share = lambda v: F.round(F.avg((F.col("source") == v).cast("int")), 6)
+    t = table(s, d, "documents").where("loaded_at is not null and source is not null")
+    return t.groupBy(F.year("loaded_at").alias("year")).agg(F.count("*").alias("documents"), share("fulltext_xml").alias("xml"), share("fulltext_html").alias("html"), share("fulltext_pdf").alias("pdf"), share("plain").alias("plain"))
+
+
+@query("a35_formats_by_journal", "select lower(trim(journal_name)) as journal, count(*) as documents, count(*) filter (where source like 'fulltext%') as full_texts, round(avg((source like 'fulltext%')::int), 6) as share from documents where trim(journal_name) <> '' and source is not null group by 1")
+def _(s, d):
+    t = table(s, d, "documents").where("trim(journal_name) <> '' and source is not null").withColumn("full", F.col("source").startswith("fulltext"))
+    return t.groupBy(F.lower(F.trim("journal_name")).alias("journal")).agg(F.count("*").alias("documents"), F.count_if("full").alias("full_texts"), F.round(F.avg(F.col("full").cast("int")), 6).alias("share"))
+
+
 @query("f50_pipe_tokens", f"select entity_row_id, len([x for x in string_split(unique_conditions_linkbert_predictions, '|') if trim(x) <> '']) as n from {ENT} where unique_conditions_linkbert_predictions is not null")
 def _(s, d):
     return table(s, d, ENT).where("unique_conditions_linkbert_predictions is not null").select("entity_row_id", F.size(C.tokens(F.col("unique_conditions_linkbert_predictions"))).cast("bigint").alias("n"))
@@ -382,11 +458,6 @@ def _(s, d):
     return p.crossJoin(F.broadcast(st)).select("p_partkey", F.round((F.col("p_retailprice") - F.col("m")) / F.col("sd"), 6).alias("z"))  # one row
 
 
-@query("f64_json_extract", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
-def _(s, d):
-    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
-
-
 @query("t06_year_matrix", f"with y as (select normalized_key pair, unnest(pub_year) y from {TR} where normalized_key is not null) select pair, count(*) filter (where y < 1990) as before_1990, count(*) filter (where y between 1990 and 1999) as y1990, count(*) filter (where y between 2000 and 2009) as y2000, count(*) filter (where y >= 2010) as since_2010 from y group by 1")
 def _(s, d):
     y = table(s, d, TR).where("normalized_key is not null").select(F.col("normalized_key").alias("pair"), F.explode("pub_year").alias("y"))

@@ -223,6 +223,12 @@ def _(s, d):
     return E.multilabel(t, "t", "p")
 
 
+@query("e03_averages", f"with x as (select list_distinct(t) t, list_distinct(p) p from {_LISTS}), l as (select unnest(list_distinct(list_concat(t, p))) l, t, p from x), g as (select l, count(*) filter (where list_contains(t, l) and list_contains(p, l)) tp, count(*) filter (where not list_contains(t, l)) fp, count(*) filter (where not list_contains(p, l)) fn from l group by 1), s as (select tp + fn w, coalesce(tp::double / nullif(tp + fp, 0), 0) p, coalesce(tp::double / nullif(tp + fn, 0), 0) r, coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) f from g) select 'macro' as average, count(*) as labels, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(f), 6) as f1 from s union all select 'weighted', count(*), round(sum(p * w) / sum(w), 6), round(sum(r * w) / sum(w), 6), round(sum(f * w) / sum(w), 6) from s")
+def _(s, d):
+    t = table(s, d, ENT).select(F.split("drug_umls_term_norm", r"\|").alias("t"), F.split("unique_interventions_linkbert_predictions", r"\|").alias("p"))
+    return E.multilabel_averages(t, "t", "p")
+
+
 @query("e04_confusion", f"select t, count(*) filter (where s = 'reported') as reported, count(*) filter (where s = 'not reported') as not_reported from {_PRED} group by 1")
 def _(s, d):
     return _pred(s, d).groupBy("t").pivot("s", ["reported", "not reported"]).count().na.fill(0).withColumnRenamed("not reported", "not_reported")
