@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenweave.functions.cells import let
 from lumenweave.functions.text import squeeze
 
 # English number words.
@@ -54,6 +55,23 @@ def repaired(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\s+\)", ")"), r"\s+'s\b", "'s")
 
 
+def titled(text: Column) -> Column:
+    """Each run of letters with a capital and small letters after it (``C57BL/6`` is ``C57Bl/6``); word pieces (``##``) join what is before."""
+    runs = F.split(F.regexp_replace(text, r"\s*##", ""), r"(?<=\p{L})(?=[^\p{L}])|(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+
+
+def filtered_tags(tags: Column, kinds: list[str]) -> Column:
+    """Tags with their alternatives (``B-DRUG|I-DRUG``) cut down to these kinds, each once; of one kind ``B`` goes before ``I``; ``O`` if none is left."""
+    allowed = [f"{p}-{k}" for k in kinds for p in "BI"]
+
+    def one(tag: Column) -> Column:
+        own = F.array_intersect(F.array_distinct(F.transform(F.split(F.upper(tag), r"\|"), lambda x: F.trim(x))), F.array(*map(F.lit, allowed)))
+        return let(own, lambda xs: let(F.array_join(F.array_sort(F.filter(xs, lambda x: x.startswith("B-") | ~F.array_contains(xs, F.concat(F.lit("B-"), F.substring(x, 3, 100))))), "|"), lambda t: F.when(t == "", "O").otherwise(t)))
+
+    return F.transform(tags, one)
+
+
 def singular(text: Column) -> Column:
     """Without the plural s of the last word, unless it ends in ss, us or is or is short."""
     return F.when((F.length(text) > 3) & text.rlike(r"[^siu]s$"), F.regexp_replace(text, r"s$", "")).otherwise(text)

@@ -19,9 +19,18 @@ def _(s, d):
     return table(s, d, TR).select("pair_row_id", F.when(up, "approved").otherwise("failed").alias("status"))
 
 
-@query("f06_dash_unification", f"select meta_row_id, translate(title, '–—−', '---') as title from {META}")
+@query("f06_dash_unification", f"select meta_row_id, translate(title, '–—−‐‑‒―≈∼≅～', '-------') as title from {META}")
 def _(s, d):
-    return table(s, d, META).select("meta_row_id", F.translate("title", "–—−", "---").alias("title"))
+    """One dash for all, and no signs for "about"."""
+    return table(s, d, META).select("meta_row_id", F.translate("title", "–—−‐‑‒―≈∼≅～", "-------").alias("title"))
+
+
+@query("f65_records_by_part", f"select pair_row_id, t.doc, t.year, trim(p) as product from (select pair_row_id, unnest([{{'doc': clinical_doc_ids[i], 'status': upper(trim(overall_status[i])), 'year': final_trial_year[i]}} for i in range(1, len(clinical_doc_ids) + 1)]) t, string_split(merged_umls_label, ' ') ps from {TR} where merged_umls_label is not null), unnest(ps) u(p) where t.status = 'COMPLETED' and t.doc is not null")
+def _(s, d):
+    """Nested records flattened: each completed trial with each part of the product's name."""
+    t = table(s, d, TR).where("merged_umls_label is not null").select("pair_row_id", F.arrays_zip("clinical_doc_ids", "overall_status", "final_trial_year").alias("z"), F.split("merged_umls_label", " ").alias("ps"))
+    flat = t.select("pair_row_id", "ps", F.explode("z").alias("z")).where((F.upper(F.trim("z.overall_status")) == "COMPLETED") & F.col("z.clinical_doc_ids").isNotNull())
+    return flat.select("pair_row_id", F.col("z.clinical_doc_ids").alias("doc"), F.col("z.final_trial_year").alias("year"), F.explode("ps").alias("p")).select("pair_row_id", "doc", "year", F.trim("p").alias("product"))
 
 
 @query("f13_token_removal", f"select pair_row_id, array_to_string([p for p in phase if p <> 'NA'], ',') as phases from {TR} where phase is not null")

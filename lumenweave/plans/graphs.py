@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lumenweave.functions import biology as B
@@ -137,6 +139,15 @@ def _(s, d):
     return L.dictionary_lookup(m, "term", names).select("entity_row_id", "term", "canonical")
 
 
+@query("j09_relinked_cells", f"with n as (select lower(trim(str)) k, array_to_string(list_sort(list_distinct(list(cui))), ',') c from umls_concepts group by 1), m as (select entity_row_id, i, lower(trim(a[i])) t from (select entity_row_id, string_split(drug_umls_term_norm, '|') a from {ENT} where drug_umls_term_norm is not null), unnest(range(1, len(a) + 1)) r(i)) select entity_row_id, string_agg(coalesce(c, t), '|' order by i) as ids from m left join n on t = k where t <> '' group by 1")
+def _(s, d):
+    """Each cell with the ids of its terms in their places; several ids of a term are joined by a comma, an unknown term stays."""
+    names = table(s, d, "umls_concepts").groupBy(F.lower(F.trim("str")).alias("t")).agg(F.array_join(F.array_sort(F.collect_set("cui")), ",").alias("c"))
+    m = table(s, d, ENT).where("drug_umls_term_norm is not null").select("entity_row_id", F.posexplode(F.split(F.lower("drug_umls_term_norm"), r"\|")).alias("i", "t")).withColumn("t", F.trim("t")).where("t <> ''")
+    parts = F.sort_array(F.collect_list(F.struct("i", F.coalesce("c", "t").alias("v"))))
+    return m.join(names, "t", "left").groupBy("entity_row_id").agg(F.array_join(parts["v"], "|").alias("ids"))
+
+
 @query("j10_map_enrich", f"select a.annotation_row_id, s.strainname as strain from {ANN} a left join (select lower(synonym) k, min(strainname) strainname from strain_synonyms group by 1) s on lower(trim(a.animal_strain)) = k")
 def _(s, d):
     n = table(s, d, "strain_synonyms").groupBy(F.lower("synonym").alias("k")).agg(F.min("strainname").alias("strain"))
@@ -261,26 +272,58 @@ def _(s, d):
     return E.bootstrap(_pred(s, d).select((F.col("annotation_row_id") * 1_000_003 + F.col("doc_id")).alias("i"), (F.col("t") == F.col("s")).cast("int").alias("ok")), "i", "ok", 1000)
 
 
+FEATURES = ["articles", "species", "countries", "strains", "assays", "rigorous"]
+
+
+def _features(s, d):
+    """Pairs with their target (any clinical evidence), the flag of both sexes, and the other features scaled to mean 0 and deviation 1."""
+    up = table(s, d, TR).groupBy(F.col("normalized_key").alias("pair")).agg(F.max((F.col("clinical_count") > 0).cast("double")).alias("target"))
+    f = heterogeneity(s, d).join(up, "pair").select("pair", F.coalesce("target", F.lit(0.0)).alias("target"), F.col("both_sexes").cast("double").alias("both_sexes"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    stats = F.broadcast(f.agg(*[x for c in FEATURES for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]))  # one row
+    return f.crossJoin(stats).select("pair", "target", "both_sexes", *[F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)).alias(c) for c in FEATURES])
+
+
 @query("m06_logistic_regression")
 def _(s, d):
+    """Odds ratios with Wald intervals and p-values, of all features together and of each alone."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    up = table(s, d, TR).groupBy(F.col("normalized_key").alias("pair")).agg(F.max((F.col("clinical_count") > 0).cast("double")).alias("target"))
-    f = heterogeneity(s, d).join(up, "pair").select(F.coalesce("target", F.lit(0.0)).alias("target"), *[F.col(c).cast("double").alias(c) for c in ("articles", "species", "countries")])
-    data = VectorAssembler(inputCols=["articles", "species", "countries"], outputCol="x").transform(f)
-    m = GeneralizedLinearRegression(family="binomial", featuresCol="x", labelCol="target", maxIter=25, regParam=1e-6).fit(data)
-    names = ["articles", "species", "countries"]
-    return s.createDataFrame([(n, float(b), float(2.718281828459045**b)) for n, b in zip(names, m.coefficients.toArray())], "feature string, coefficient double, odds_ratio double")
+    data, every = _features(s, d).cache(), [*FEATURES, "both_sexes"]
+    rows = []
+    for kind, names in [("together", every), *[("alone", [c]) for c in every]]:
+        x = VectorAssembler(inputCols=names, outputCol="x").transform(data)
+        m = GeneralizedLinearRegression(family="binomial", featuresCol="x", labelCol="target", maxIter=50).fit(x)
+        errors, p = m.summary.coefficientStandardErrors, m.summary.pValues
+        rows += [(kind, n, float(b), float(e), math.exp(b), math.exp(b - 1.959964 * e), math.exp(min(700, b + 1.959964 * e)), float(q)) for n, b, e, q in zip(names, m.coefficients.toArray(), errors, p)]
+    data.unpersist()
+    return s.createDataFrame(rows, "model string, feature string, coefficient double, error double, odds_ratio double, low double, high double, p double")
+
+
+@query("m07_cross_validation")
+def _(s, d):
+    """Ten folds by the hash of the pair: area under the curve, sensitivity and specificity of a logistic model on each fold left out."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=[*FEATURES, "both_sexes"], outputCol="x").transform(_features(s, d)).withColumn("fold", F.pmod(F.xxhash64("pair"), F.lit(10))).select("x", "target", "fold").cache()
+    rows = []
+    for k in range(10):
+        said = LogisticRegression(featuresCol="x", labelCol="target", maxIter=25, regParam=1e-3).fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k))
+        n = said.agg(F.count("*").alias("n"), *[F.count_if((F.col("target") == t) & (F.col("prediction") == p)).alias(c) for t, p, c in ((1, 1, "tp"), (1, 0, "fn"), (0, 1, "fp"), (0, 0, "tn"))]).first()
+        auc = BinaryClassificationEvaluator(labelCol="target").evaluate(said) if n["n"] else None
+        rows.append((k, n["n"], auc, n["tp"] / max(1, n["tp"] + n["fn"]), n["tn"] / max(1, n["tn"] + n["fp"])))
+    data.unpersist()
+    return s.createDataFrame(rows, "fold int, n bigint, auc double, sensitivity double, specificity double")
 
 
 @query("m07_random_forest")
 def _(s, d):
+    """A forest on four fifths of the pairs, said of the rest."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    up = table(s, d, TR).groupBy(F.col("normalized_key").alias("pair")).agg(F.max((F.col("clinical_count") > 0).cast("double")).alias("target"))
-    f = heterogeneity(s, d).join(up, "pair").select("pair", F.coalesce("target", F.lit(0.0)).alias("target"), *[F.col(c).cast("double").alias(c) for c in ("articles", "species", "countries")])
-    data = VectorAssembler(inputCols=["articles", "species", "countries"], outputCol="x").transform(f).withColumn("fold", F.pmod(F.xxhash64("pair"), F.lit(5)))
+    data = VectorAssembler(inputCols=[*FEATURES, "both_sexes"], outputCol="x").transform(_features(s, d)).withColumn("fold", F.pmod(F.xxhash64("pair"), F.lit(5)))
     m = RandomForestClassifier(featuresCol="x", labelCol="target", numTrees=20, seed=7).fit(data.where("fold < 4"))
     return m.transform(data.where("fold = 4")).groupBy("target", "prediction").agg(F.count("*").alias("n"))

@@ -200,16 +200,15 @@ def _(s, d):
     return t.select("rec_id", B.repaired(joined).alias("text"))
 
 
-@query("f04_title_case", f"select entity_row_id, list_aggregate([upper(w[1]) || lower(w[2:]) for w in string_split(unique_conditions_linkbert_predictions, ' ')], 'string_agg', ' ') as cell from {ENT} where unique_conditions_linkbert_predictions is not null")
+@query("f04_title_case", rf"select entity_row_id, list_aggregate([upper(w[1]) || lower(w[2:]) for w in regexp_extract_all(regexp_replace(unique_conditions_linkbert_predictions, '\s*##', '', 'g'), '\p{{L}}+|[^\p{{L}}]+')], 'string_agg', '') as cell from {ENT} where unique_conditions_linkbert_predictions <> ''")
 def _(s, d):
-    t = table(s, d, ENT).where("unique_conditions_linkbert_predictions is not null")
-    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
-    return t.select("entity_row_id", F.array_join(F.transform(F.split("unique_conditions_linkbert_predictions", " "), word), " ").alias("cell"))
+    return table(s, d, ENT).where("unique_conditions_linkbert_predictions <> ''").select("entity_row_id", B.titled(F.col("unique_conditions_linkbert_predictions")).alias("cell"))
 
 
-@query("f05_control_characters", "select doc_id, regexp_replace(translate(text, '“”‘’', '\"\"'''''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') as text from documents where text is not null")
+@query("f05_control_characters", "select doc_id, trim(translate(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), chr(8232) || chr(8233) || chr(8220) || chr(8221) || chr(8216) || chr(8217), '  \"\"' || chr(39) || chr(39)), ' \t\n') as text from documents where text is not null")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.translate("text", "“”‘’", "\"\"''"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("text"))
+    t = F.translate(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f\x7f]", ""), "\u2028\u2029“”‘’", "  \"\"" + "'" * 2)
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.btrim(t, F.lit(" \t\n")).alias("text"))
 
 
 @query("f07_singular", f"select term, case when length(term) > 3 and regexp_matches(term, '[^siu]s$') then term[:-2] else term end as one from (select distinct trim(unnest(string_split(unique_interventions_linkbert_predictions, '|'))) term from {ENT}) where term is not null")
@@ -336,7 +335,7 @@ def _(s, d):
     return table(s, d, NER).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("f60_entity_spans", f"with t as (select rec_id, i, tokens[i] tok, upper(trim(string_split(ner_tags[i], '|')[1])) tag from (select * from {NER} where tokens is not null and ner_tags is not null), unnest(range(1, least(len(tokens), len(ner_tags)) + 1)) r(i)), k as (select *, split_part(tag, '-', 2) kind, lag(tag) over (partition by rec_id order by i) prev from t), g as (select *, sum(case when tag like 'I-%' and split_part(coalesce(prev, 'O'), '-', 2) = kind then 0 else 1 end) over (partition by rec_id order by i) grp from k) select rec_id, min(i)::int as begin, kind, string_agg(coalesce(tok, ''), ' ' order by i) as entity from g where tag <> 'O' group by rec_id, grp, kind")
+@query("f60_entity_spans", f"with t as (select rec_id, i, tokens[i] tok, upper(trim(string_split(ner_tags[i], '|')[1])) tag from (select * from {NER} where tokens is not null and ner_tags is not null), unnest(range(1, least(len(tokens), len(ner_tags)) + 1)) r(i)), k as (select *, split_part(tag, '-', 2) kind, lag(tag) over (partition by rec_id order by i) prev from t), g as (select *, sum(case when tag like 'I-%' and split_part(coalesce(prev, 'O'), '-', 2) = kind then 0 else 1 end) over (partition by rec_id order by i) grp from k) select rec_id, min(i)::int as begin, kind, replace(string_agg(coalesce(tok, ''), ' ' order by i), ' ##', '') as entity from g where tag <> 'O' group by rec_id, grp, kind")
 def _(s, d):
     """Tokens grouped to entities: one fold over each record's tags, no window and no shuffle."""
     n = F.least(F.size("tokens"), F.size("ner_tags"))
@@ -349,16 +348,27 @@ def _(s, d):
         F.array().cast(one),
         lambda acc, x: F.when(
             x["inside"] & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(-9)) == x["i"] - 1) & (F.try_element_at(acc, F.lit(-1))["kind"] == x["kind"]),
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), x["i"].alias("stop"), x["kind"].alias("kind"), F.concat(F.try_element_at(acc, F.lit(-1))["entity"], F.lit(" "), x["tok"]).alias("entity")))),
+            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), x["i"].alias("stop"), x["kind"].alias("kind"), F.concat(F.try_element_at(acc, F.lit(-1))["entity"], F.when(x["tok"].startswith("##"), F.substring(x["tok"], 3, 1_000_000)).otherwise(F.concat(F.lit(" "), x["tok"]))).alias("entity")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["i"].alias("begin"), x["i"].alias("stop"), x["kind"].alias("kind"), x["tok"].alias("entity"))))),
     )
     return t.select("rec_id", F.explode(fold).alias("e")).select("rec_id", "e.begin", "e.kind", "e.entity")
 
 
-@query("f63_multi_hot", f"select annotation_row_id, concat_ws(',', (contains(lower(assay_type), 'behavior'))::int, (contains(lower(assay_type), 'histology'))::int, (contains(lower(assay_type), 'imaging'))::int) as hot from {ANN} where assay_type is not null")
+@query("f63_multi_hot", f"select annotation_row_id, array_to_string([list_contains([trim(x) for x in string_split(lower(assay_type), ',')], y)::int for y in ['behavior', 'histology', 'imaging']], ',') as assays, array_to_string([(lower(trim(animal_species)) = y)::int for y in ['mouse', 'rat', 'rabbit', 'monkey', 'guinea pig', 'species-other', 'dog', 'cat', 'pig']], ',') as species from {ANN} where assay_type is not null and animal_species is not null")
 def _(s, d):
-    flags = [F.contains(F.lower("assay_type"), F.lit(x)).cast("int").cast("string") for x in ("behavior", "histology", "imaging")]
-    return table(s, d, ANN).where("assay_type is not null").select("annotation_row_id", F.concat_ws(",", *flags).alias("hot"))
+    """A flag for each label, in a fixed order."""
+    cell = lambda c: F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x))
+    hot = lambda c, labels: F.array_join(F.transform(F.array(*map(F.lit, labels)), lambda y: F.array_contains(cell(c), y).cast("int").cast("string")), ",")
+    return table(s, d, ANN).where("assay_type is not null and animal_species is not null").select("annotation_row_id", hot("assay_type", ("behavior", "histology", "imaging")).alias("assays"), hot("animal_species", K.SPECIES_ORDER).alias("species"))
+
+
+@query("f61_filtered_tags", f"with p as (select rec_id, [[y for y in list_distinct([trim(z) for z in string_split(upper(x), '|')]) if y in ('B-DRUG', 'I-DRUG', 'B-DISEASE', 'I-DISEASE')] for x in ner_tags] l from (select rec_id, [coalesce(x, 'O') for x in ner_tags] ner_tags from {NER} where ner_tags is not null)), q as (select rec_id, [case when len(x) = 0 then 'O' else array_to_string(list_sort([y for y in x if y like 'B-%' or not list_contains(x, 'B-' || y[3:])]), '|') end for x in l] t from p) select rec_id, replace(array_to_string(t, ' '), 'DISEASE', 'CONDITION') as tags, len([x for x in t if x = 'B-DRUG']) as drugs, len([x for x in t if x = 'B-DISEASE']) as conditions from q")
+def _(s, d):
+    """Tags of drugs and diseases only, ``B`` before ``I`` of one kind, kinds renamed, and how many begin."""
+    kept = B.filtered_tags(F.transform("ner_tags", lambda x: F.coalesce(x, F.lit("O"))), ["DRUG", "DISEASE"])
+    t = table(s, d, NER).where("ner_tags is not null").select("rec_id", kept.alias("t"))
+    count = lambda v: F.size(F.filter("t", lambda x: x == v)).cast("bigint")
+    return t.select("rec_id", F.replace(F.array_join("t", " "), F.lit("DISEASE"), F.lit("CONDITION")).alias("tags"), count("B-DRUG").alias("drugs"), count("B-DISEASE").alias("conditions"))
 
 
 @query("f72_sentence_split", f"select doc_id, sentence_id::int as sentence_id, sentence from {_SENT}")
