@@ -127,8 +127,8 @@ def spelled_number(text: str) -> float | None:
         if w in UNITS or w in TENS or w[0].isdigit():
             part += UNITS.get(w, TENS.get(w)) if not w[0].isdigit() else float(w)
             seen = True
-        elif w in SCALES and seen:
-            part = (part or 1) * SCALES[w]
+        elif w in SCALES:
+            part, seen = (part or 1) * SCALES[w], True
             if SCALES[w] > 100:
                 total, part = total + part, 0.0
         elif w == "and" and seen:
@@ -143,7 +143,7 @@ def numbers_of(text: str) -> list[float] | None:
 
     Ordinals (``1st``), words before (``about``, ``n =``) and after (``animals``, ``kg``) and signs don't matter.
     """
-    t = re.sub(r"^[^0-9a-z]+", "", re.sub(r"(\d)(?:st|nd|rd|th)\b", r"\1", text.strip().lower()))
+    t = re.sub(r"^[^0-9a-z]+|^an? (?=\w)", "", re.sub(r"(\d)(?:st|nd|rd|th)\b", r"\1", text.strip().lower()))
     found = [spelled_number(p) for p in re.split(r",(?!\d{3}(?:\D|$))", t)]
     if not found or None in found:
         return None

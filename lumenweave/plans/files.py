@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+from xml.sax.saxutils import escape
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenweave.operators import classify as K
@@ -10,7 +16,7 @@ from lumenweave.plans.training import ANNOTATIONS as ANN
 from lumenweave.plans.training import METADATA as META
 from lumenweave.session import fresh_path, table
 from lumenweave.sources import files as S
-from lumenweave.sources.sections import sections
+from lumenweave.sources.sections import grouped_by_span, sections
 from lumenweave.streaming.incremental import run_available, run_distinct
 
 NER = "drug_disease_ner"
@@ -91,6 +97,55 @@ def _(s, d):
     return S.read_json_any(s, [f"{p}/arrays/*", f"{p}/lines"], "s_suppkey bigint, s_name string")
 
 
+def _put(s, path: str, data: bytes) -> None:
+    """A file of these bytes in the shared folder."""
+    where = s._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(s._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _zipped(files: dict[str, str | bytes]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return buffer.getvalue()
+
+
+@query("s10_zipped_catalogue", "select n_nationkey::varchar as key, n_name as name, n_regionkey::int as region from nation")
+def _(s, d):
+    """A catalogue of records by id in two archives; the fixed table of 25 nations is written on the driver."""
+    rows = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    root = fresh_path(s, "zip")
+    for k in range(2):
+        _put(s, f"{root}/part{k}.zip", _zipped({"records.json": json.dumps({str(r[0]): {"name": r[1], "region": r[2]} for r in rows if r[0] % 2 == k})}))
+    return S.read_zipped_json(s, f"{root}/*.zip", "name string, region int")
+
+
+@query("s11_workbook_sheets", "select 'sheet1' as sheet, 1 + row_number() over (order by r_regionkey) as row, r_name as cell from region union all select 'sheet1', 1, 'name'")
+def _(s, d):
+    """A workbook of one sheet, its first column; the fixed table of five regions is written on the driver."""
+    names = ["name", *(r[0] for r in table(s, d, "region").orderBy("r_regionkey").select("r_name").collect())]
+    rows = "".join(f'<row r="{i}"><c t="s"><v>{i - 1}</v></c></row>' for i in range(1, len(names) + 1))
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book = {"xl/sharedStrings.xml": f"<sst {space}>" + "".join(f"<si><t>{escape(n)}</t></si>" for n in names) + "</sst>", "xl/worksheets/sheet1.xml": f"<worksheet {space}><sheetData>{rows}</sheetData></worksheet>"}
+    _put(s, path := f"{fresh_path(s, 'xlsx')}/book.xlsx", _zipped(book))
+    return S.read_sheets(s, path).select("sheet", F.col("row").cast("bigint").alias("row"), F.get("cells", F.lit(0)).alias("cell"))
+
+
+@query("s14_vector_batches", "select n_nationkey // 10 as batch, n_nationkey % 10 as row, n_nationkey::double as first, n_regionkey::double as second from nation")
+def _(s, d):
+    """Matrices of ten rows a file; the fixed table of 25 nations is written on the driver."""
+    rows = sorted(tuple(r) for r in table(s, d, "nation").select("n_nationkey", "n_regionkey").collect())
+    root = fresh_path(s, "npy")
+    for k in range(0, len(rows), 10):
+        np.save(buffer := io.BytesIO(), np.array(rows[k : k + 10], np.float32))
+        _put(s, f"{root}/batch_{k // 10}.npy", buffer.getvalue())
+    number = F.regexp_extract("file", r"_(\d+)\.npy", 1).cast("bigint")
+    return S.read_vectors(s, f"{root}/*.npy").select(number.alias("batch"), "row", F.get("vector", F.lit(0)).cast("double").alias("first"), F.get("vector", F.lit(1)).cast("double").alias("second"))
+
+
 @query("s12_xml_records", "select p_partkey, p_brand from part")
 def _(s, d):
     table(s, d, "part").select("p_partkey", "p_brand").write.format("xml").option("rootTag", "parts").option("rowTag", "part").save(p := fresh_path(s, "xml"))
@@ -145,3 +200,13 @@ def _(s, d):
 def _(s, d):
     t = table(s, d, "documents").where(F.contains("text", F.lit("<p>")))
     return t.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "</?p>", " "), r"[ \n\t\r]+", " ")).alias("plain"))
+
+
+@query("f70_spans_by_heading", r"""with p as (select doc_id, i, string_split(text, chr(10) || chr(10)) s from documents, unnest(range(1, 2)) r(i) where text is not null), b as (select doc_id, j, s[j] t, length(array_to_string(s[1:j - 1], chr(10) || chr(10))) as at from p, unnest(range(1, len(s) + 1)) r(j)),
+k as (select doc_id, j, t, trim(t) <> '' and length(t) <= 40 and not contains(t, '.') h from b), g as (select doc_id, j, t, h, last_value(case when h then t end ignore nulls) over (partition by doc_id order by j rows between unbounded preceding and current row) x from k)
+select doc_id, x as heading, count(*) as paragraphs from g where not h and trim(t) <> '' group by 1, 2""")
+def _(s, d):
+    """Paragraphs of each heading; a short piece without a full stop is a heading."""
+    pieces = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "text")).where("trim(text) <> ''")
+    short = (F.length("text") <= 40) & ~F.contains("text", F.lit("."))
+    return grouped_by_span(pieces.where(~short), pieces.where(short), "doc_id", "at").groupBy("doc_id", "heading").agg(F.count("*").alias("paragraphs"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import takewhile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Headings at which the wanted section begins and ends.
@@ -83,7 +86,163 @@ def _wanted(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
+@dataclass
+class Node:
+    """An element of a page, with what it holds in order: texts and elements."""
+
+    tag: str
+    attrs: dict[str, str]
+    held: list = field(default_factory=list)
+
+    def inside(self) -> Iterator[Node]:
+        for x in self.held:
+            if isinstance(x, Node):
+                yield x
+                yield from x.inside()
+
+    def text(self) -> str:
+        return " ".join("".join(x if isinstance(x, str) else f" {x.text()} " if x.tag in BLOCKS else x.text() for x in self.held).split())
+
+    def has(self, *classes: str) -> bool:
+        return set(classes) <= set(self.attrs.get("class", "").split())
+
+
+BLOCKS = frozenset("p div section li td h1 h2 h3 h4 h5 h6".split())
+EMPTY = frozenset("br hr img input link meta area base col embed source track wbr".split())
+DEEPEST = 200
+
+
+class _Tree(HTMLParser):
+    """Builds the tree of a page; a block ends an open paragraph, an end tag all that is open inside. Beyond ``DEEPEST`` levels elements lie flat."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = Node("", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS:
+            block = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in BLOCKS), 0)
+            if self.open[block].tag == "p":
+                del self.open[block:]
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].held.append(node)
+        if tag not in EMPTY and len(self.open) < DEEPEST:
+            self.open.append(node)
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                break
+
+    def handle_data(self, data: str) -> None:
+        if self.open[-1].tag not in ("script", "style"):
+            self.open[-1].held.append(data)
+
+
+def _heads(node: Node, tags: str, direct: bool = False) -> Node | None:
+    """The first heading of these tags, if it begins the wanted part."""
+    first = next((x for x in (node.held if direct else node.inside()) if isinstance(x, Node) and x.tag in tags.split()), None)
+    return first if first is not None and BEGIN.match(first.text()) else None
+
+
+def _paragraphs(nodes: Iterable[Node], title: Callable[[Node], str | None], paragraph: Callable[[Node], bool], default: str = "Materials and Methods") -> list[tuple[str, str]]:
+    """(title, text) of the paragraphs among these nodes, up to a title or a short paragraph that begins another part."""
+    out, current = [], default
+    for n in nodes:
+        said = title(n)
+        if said:
+            if STOP.match(said):
+                break
+            current = current if BEGIN.match(said) else said.rstrip(":.")
+        if paragraph(n):
+            text = n.text()
+            if len(text) <= HEADING_CHARS and STOP.match(text):
+                break
+            if text:
+                out.append((current, text))
+    return out
+
+
+def _tagged(tags: str) -> Callable[[Node], str | None]:
+    return lambda n: n.text() if n.tag in tags.split() else None
+
+
+def _after(root: Node, first: Node) -> list[Node]:
+    """Elements that follow one within its parent."""
+    for parent in (root, *root.inside()):
+        for i, x in enumerate(parent.held):
+            if x is first:
+                return [y for y in parent.held[i + 1 :] if isinstance(y, Node)]
+    return []
+
+
+def _titled_blocks(root: Node) -> list[tuple[str, str]]:
+    """Sections named by an attribute or by their own heading."""
+    out: list[tuple[str, str]] = []
+    taken: set[int] = set()
+    for n in root.inside():
+        named = n.tag == "section" and re.search(r"materials\s*(?:and|&)?\s*methods", n.attrs.get("data-title", ""), re.I)
+        own = n.tag in ("section", "div") and _heads(n, "h1 h2 h3", direct=True)
+        classed = n.tag == "section" and n.has("article-section__content") and _heads(n, "h2")
+        if (named or own or classed) and id(n) not in taken:
+            taken |= {id(x) for x in n.inside()}
+            out += _paragraphs(n.inside(), _tagged("h2 h3 h4"), lambda x: x.tag == "p" or x.attrs.get("role") == "paragraph")
+    return out
+
+
+def _typed_section(root: Node) -> list[tuple[str, str]]:
+    """A section whose type is declared, with paragraphs by role."""
+    n = next((x for x in root.inside() if x.tag == "section" and re.search(r"materials\W*methods", x.attrs.get("data-type", ""), re.I)), None)
+    return _paragraphs(n.inside(), _tagged("h3 h4"), lambda x: x.attrs.get("role") == "paragraph") if n else []
+
+
+def _levelled_blocks(root: Node) -> list[tuple[str, str]]:
+    """Blocks with a level in their class."""
+    n = next((x for x in root.inside() if x.tag == "div" and x.has("NLM_sec", "NLM_sec_level_1") and _heads(x, "h2")), None)
+    return _paragraphs(n.inside(), _tagged("h3 h4"), lambda x: x.tag == "div" and x.has("NLM_p")) if n else []
+
+
+def _named_block(root: Node) -> list[tuple[str, str]]:
+    """A block with a telling id, or the one that a link of that name leads to."""
+    ids = {x.attrs["id"]: x for x in reversed(list(root.inside())) if x.tag == "div" and x.attrs.get("id")}
+    links = [x.attrs["href"].lstrip("#") for x in root.inside() if x.tag == "a" and x.attrs.get("href", "").startswith("#") and BEGIN.match(x.text())]
+    n = next((ids[k] for k in ("methods", "section-2", *links) if k in ids), None)
+    return _paragraphs(n.inside(), lambda x: x.text() if x.tag == "span" and x.has("level-4") else None, lambda x: x.tag == "p", "Methods") if n else []
+
+
+def _outline(root: Node) -> list[tuple[str, str]]:
+    """What follows a heading of an outline, up to the next; a paragraph's bold italics are a title."""
+    head = next((x for x in root.inside() if x.tag == "h2" and x.has("ejp-article-outline-heading") and BEGIN.match(x.text())), None)
+    if head is None:
+        return []
+    part = list(takewhile(lambda x: not (x.tag == "h2" and x.has("ejp-article-outline-heading")), _after(root, head)))
+    bold = lambda x: next((y.text() for y in x.inside() if y.tag == "strong" and any(z.tag == "em" for z in y.inside())), None) if x.tag == "p" else None
+    return _paragraphs(part, bold, lambda x: x.tag == "p")
+
+
+def _onward(root: Node) -> list[tuple[str, str]]:
+    """What follows the first heading that begins the part."""
+    head = next((x for x in root.inside() if x.tag in ("h1", "h2", "h3", "h4") and BEGIN.match(x.text())), None)
+    if head is None:
+        return []
+    return _paragraphs((y for x in _after(root, head) for y in (x, *x.inside())), _tagged("h1 h2 h3 h4"), lambda x: x.tag == "p", head.text().rstrip(":."))
+
+
+#: Ways in which pages mark the wanted part, the surest first.
+WAYS = (_titled_blocks, _typed_section, _levelled_blocks, _named_block, _outline, _onward)
+
+
 def from_html(text: str) -> list[tuple[str, str]]:
+    """(title, paragraph) of the first way that finds any; else of headings and paragraphs as they come."""
+    tree = _Tree()
+    tree.feed(text)
+    tree.close()
+    for way in WAYS:
+        got = way(tree.root)
+        if got:
+            return got
     p = _Headings()
     p.feed(text)
     p.flush("p")
@@ -111,6 +270,64 @@ def from_plain(text: str) -> list[tuple[str, str]]:
     return _wanted(rows)
 
 
+# Headings inside running text, and what stands around such words where they are no heading.
+RUN_BEGIN = re.compile(r"(?<!\w)(?:\d{1,2}(?:\.\d{1,2})?\s+)?(?:materials\s*(?:and|&)\s*methods|experimental\s+(?:procedures|section)|methodology|methods)\b", re.I)
+RUN_STOP = re.compile(r"(?<!\w)(?:\d{0,2}\.?\d{0,2}\s*)?(results|discussion|conclusion|references|acknowledgments?|bibliography|supplementary materials|supporting information)\b", re.I)
+CITED = "as described in|as previously described|previously reported in|as reported in|according to|in accordance with|see also|see e.g.|has been described"
+NO_BEGIN_AFTER = re.compile(r"[),]|\s+(?:in|for|is|of|by|to)\b|\s*(?:was|were)\s+(?:performed|conducted|carried\s+out)|\s+(?:[\d\s,]{5,}|\[\d+\])", re.I)
+NO_STOP_BEFORE = re.compile(r"\b(?:the|this|that|these|those|our|their|its|and|of|all|in|similar|reliable|significant|preliminary|previous|current|presented|further|recorded|unpublished)\s+$", re.I)
+NO_STOP_AFTER = re.compile(
+    r"\s*,|\s*(?:are|were)\s+(?:shown|presented|reported|provided|expressed|described|listed|summari[sz]ed|compared|indicated|given|displayed|illustrated|obtained|observed|analy[sz]ed)\b"
+    r"|\s*(?:show|shows|showed|indicate|indicates|indicated|suggest|suggests|suggested)\b|\s*(?:of|from|for|in)\b",
+    re.I,
+)
+ROLES = re.compile(r"writing|project administration|review|editing|funding acquisition|methodology|conceptualization", re.I)
+NAMED = re.compile(r"[A-Z][a-z]+ [A-Z]\.")
+NEAR, MANY = 50, 5
+
+
+def from_running(text: str) -> list[tuple[str, str]]:
+    """(title, text) of the sections of a text without line structure, from their heading on.
+
+    Candidates for beginnings and ends are found in one pass each; those that their surroundings show to be no heading (citations, phrases
+    such as ``methods of``, ``results were shown``) are left out. A section goes to the next end, or to the end of the text; a beginning
+    inside a section is none. Sections that are lists of roles or names are left out.
+    """
+
+    def begins(m: re.Match) -> bool:
+        around = text[max(0, m.start() - NEAR) : m.start()] + "\n" + text[m.end() : m.end() + NEAR]
+        return not NO_BEGIN_AFTER.match(text, m.end()) and not re.search(CITED, around, re.I)
+
+    def stops(m: re.Match) -> bool:
+        verb = m.group(1).lower() in ("results", "references") and NO_STOP_AFTER.match(text, m.end())
+        return not verb and not NO_STOP_BEFORE.search(text[max(0, m.start() - 30) : m.start()])
+
+    ends = [m.start() for m in RUN_STOP.finditer(text) if stops(m)]
+    out, free = [], 0
+    for m in filter(begins, RUN_BEGIN.finditer(text)):
+        if m.start() < free:
+            continue
+        k = bisect_right(ends, m.start())
+        end = ends[k] if k < len(ends) else len(text)
+        part = text[m.start() : end].strip()
+        if len(ROLES.findall(part)) <= MANY and len(NAMED.findall(part)) <= MANY:
+            out.append((m.group().strip(), part))
+            free = end
+    return list(dict.fromkeys(out))
+
+
+def grouped_by_span(paragraphs: DataFrame, headings: DataFrame, doc: str, start: str) -> DataFrame:
+    """Each paragraph (doc, start, text) with the last heading (doc, start, text) that begins at its place or before: doc, start, heading, text.
+
+    Paragraphs before the first heading have a null one. Null places go with the beginning.
+    """
+    both = headings.select(doc, F.coalesce(start, F.lit(-1)).alias(start), F.lit(0).alias("k"), F.col("text").alias("heading"), F.lit(None).cast("string").alias("text")).union(
+        paragraphs.select(doc, F.coalesce(start, F.lit(-1)).alias(start), F.lit(1).alias("k"), F.lit(None).cast("string").alias("heading"), "text")
+    )
+    w = Window.partitionBy(doc).orderBy(start, "k").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("heading", F.last("heading", ignorenulls=True).over(w)).where("k = 1").drop("k")
+
+
 def wanted(text: str) -> tuple[str, list[tuple[str, str]]]:
     """The first of XML, HTML and plain that finds the section, and what it finds."""
     head = text.lstrip()[:200].lower()
@@ -123,7 +340,7 @@ def wanted(text: str) -> tuple[str, list[tuple[str, str]]]:
         if got:
             return "html", got
         text = re.sub(r"</?\w[^<>]{0,200}>", "\n\n", text)
-    return "plain", from_plain(text)
+    return "plain", from_plain(text) or from_running(text)
 
 
 def sections(df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -16,7 +16,7 @@ from lumenweave.operators import relational as R
 from lumenweave.operators import translation as T
 from lumenweave.operators.skew import split_join
 from lumenweave.sources import files as S
-from lumenweave.sources.sections import from_html, from_plain, from_xml
+from lumenweave.sources.sections import from_html, from_plain, from_running, from_xml, grouped_by_span
 
 
 def one(spark, column, *values, kind="string"):
@@ -78,14 +78,14 @@ def test_sex_looks_at_the_first_hit_of_each_pattern(spark):
 def test_numbers_in_animal_context(spark):
     df = spark.createDataFrame([(1, "In all 12 rats died. Of 12 patients none. 120 x", "n = 12, 12"), (2, None, "3"), (3, "a 7 (b", "7 (b"), (4, "all animals: 5", "5")], "id int, text string, n string")
     got = {(r.id, r.value, r.context, r.species, r.animal) for r in K.number_contexts(df, ["id"], "text", "n", 10).collect()}
-    assert got == {(1, "12", "in all 12 rats died", "rat", True), (1, "12", "died. of 12 patients", "species-other", False), (3, "7 (b", "a 7 (b", "species-other", False), (4, "5", " animals: 5", "species-other", True)}
+    assert got == {(1, "12", "in all 12 rats died", "rat", True), (1, "12", " died. of 12 patients ", "species-other", False), (3, "7 (b", "a 7 (b", "species-other", False), (4, "5", " animals: 5", "species-other", True)}
 
 
 def test_document_rules(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 1, 2), (1, 2, 1), (2, 0, 0), (2, 1, 0)], "doc int, place int, code int")
     assert {tuple(r) for r in K.zero_fallback(df, "doc", "code", "place").collect()} == {(1, 2, "1,2"), (2, 0, "0,1")}
     sp = spark.createDataFrame([(1, 0, ["rat"]), (1, 1, ["rat"]), (1, 2, ["mouse"]), (2, 0, ["dog", "cat"]), (3, 0, ["species-other"])], "doc int, place int, labels array<string>")
-    assert {tuple(r) for r in K.species_rule(sp, "doc", "labels", "place").collect()} == {(1, "rat"), (2, "cat,dog"), (3, "species-other")}
+    assert {tuple(r) for r in K.species_rule(sp, "doc", "labels", "place").collect()} == {(1, "rat", "2", "0,1"), (2, "cat,dog", "1,1", "0"), (3, "species-other", "1", "0")}
 
 
 def test_numbers_and_ages(spark):
@@ -128,7 +128,7 @@ def test_graph(spark):
         G.closure(ring)
     kept = {(r.node, r.ancestor): r.hops for r in G.closure(ring, cycles="keep").collect()}
     assert kept["p", "q"] == 1 and ("p", "p") not in kept and kept["d", "r"] == 3
-    assert G.closure(links.limit(0)).count() == 0 and G.root_of(links) == "r" and G.root_of(links.limit(0)) is None
+    assert G.closure(links.limit(0)).count() == 0 and G.root_of(links) == "e2" and G.root_of(links.limit(0)) is None
 
 
 def test_deep_graph(spark):
@@ -178,6 +178,34 @@ def test_sections():
     xml = "<article xmlns='u'><sec><title>Methods</title><p>One <i>two</i>.</p><sec><title>Animals</title><p>Rats.</p></sec></sec><sec><title>Results</title><p>No.</p></sec></article>"
     assert from_xml(xml) == [("Methods", "One two."), ("Animals", "Rats.")] and from_xml("<broken") == []
     html = "<h2>2. Materials and Methods</h2><p>A <b>b<p>C</p><script>'</p>x'</script><h3>Animals</h3><p>D</p><h2>Results</h2><p>E</p>"
-    assert from_html(html) == [("2. Materials and Methods", "A b"), ("2. Materials and Methods", "C"), ("2. Materials and Methods", "D")]
+    assert from_html(html) == [("2. Materials and Methods", "A b"), ("2. Materials and Methods", "C"), ("Animals", "D")]
+    pages = {
+        "<section data-title='Materials and Methods'><h3>Rats:</h3><p>A</p><div role='paragraph'>B</div><h3>Results</h3><p>C</p></section>": [("Rats", "A"), ("Rats", "B")],
+        "<div><h2>Methods</h2><div><h3>Methods</h3><p>A</p></div></div><div><h2>Results</h2><p>C</p></div>": [("Materials and Methods", "A")],
+        "<section data-type='materials methods'><section><h3>Rats.</h3><div role='paragraph'>A</div></section></section>": [("Rats", "A")],
+        "<div class='NLM_sec NLM_sec_level_1'><span><h2>Methods</h2></span><div class='NLM_sec NLM_sec_level_2'><h4>Rats:</h4><div class='NLM_p'>A</div></div></div>": [("Rats", "A")],
+        "<a href='#m7'>Methods</a><div id='m7'><span class='level-4'>Rats</span><p>A</p><p>Results</p><p>C</p></div>": [("Rats", "A")],
+        "<h2 class='ejp-article-outline-heading'>Methods</h2><p><strong><em>Rats:</em></strong> A</p><p>B</p><h2 class='ejp-article-outline-heading'>Results</h2><p>C</p>": [("Rats", "Rats: A"), ("Rats", "B")],
+        "<h1>Methods</h1><div><p>A</p></div><h2>Results</h2><p>C</p>": [("Methods", "A")],
+        "<p>Nothing": [],
+        "": [],
+    }
+    for page, want in pages.items():
+        assert from_html(page) == want, page
+    assert from_html("<div>" * 5000 + "<h2>Methods</h2><p>A</p>") == [("Methods", "A")]
     assert from_plain("Abstract\n\nx\n\nMethods\n\nOne.\n\nTwo.\n\nResults\n\nNo.") == [("Methods", "One."), ("Methods", "Two.")]
     assert from_plain("Methods: One.") == [("Methods", "One.")]
+
+
+def test_running_sections():
+    text = "Intro. The methods of others failed. 2. Materials and Methods Rats were fed as told. The results were shown later. We saw that our results, too, held. 3. Results They ran."
+    assert from_running(text) == [("Materials and Methods", "Materials and Methods Rats were fed as told. The results were shown later. We saw that our results, too, held.")]
+    assert from_running("See Smith (methods), according to the methods there. Methods were performed.") == []
+    assert from_running("Methodology A. Smith B. wrote; Jones C. Miller D. Adams E. Baker F. Clark G. Evans H. all did") == []
+    assert from_running("Methods Rats ran.") == [("Methods", "Methods Rats ran.")] and from_running("") == []
+
+
+def test_spans(spark):
+    p = spark.createDataFrame([(1, 0, "a"), (1, 5, "b"), (1, 9, "c"), (2, None, "d")], "doc int, at int, text string")
+    h = spark.createDataFrame([(1, 5, "H"), (1, 7, "I"), (3, 0, "J")], "doc int, at int, text string")
+    assert {(r.doc, r.heading, r.text) for r in grouped_by_span(p, h, "doc", "at").collect()} == {(1, None, "a"), (1, "H", "b"), (1, "I", "c"), (2, None, "d")}
