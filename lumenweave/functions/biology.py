@@ -77,6 +77,23 @@ def singular(text: Column) -> Column:
     return F.when((F.length(text) > 3) & text.rlike(r"[^siu]s$"), F.regexp_replace(text, r"s$", "")).otherwise(text)
 
 
+# What ends a name as its stage, and names that are no root.
+STAGE = r"(?:\d+[A-Za-z]?|[IVXivx]+|[A-Za-z]|[A-Za-z]{1,2}\d{1,2}[A-Za-z]?)"
+GENERIC = ("disease", "syndrome", "disorder", "deficiency", "type", "form", "group", "stage", "grade", "class")
+
+
+def root_and_stage(name: Column) -> Column:
+    """``root[,] [type] stage`` as STRUCT<root, stage>: a stage is a number, a roman numeral, one letter or a short code.
+
+    Both are null where there is none, where the root is a general word, and for names of chromosomes. ``and`` or ``or`` at the end goes.
+    """
+    t = F.regexp_replace(F.trim(name), r"(?i)[\s,]+(?:and|or)$", "")
+    p = rf"(?i)^(.+?),?(?:\s+type)?\s+({STAGE})$"
+    root, stage = F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)
+    good = (root != "") & ~F.lower(root).isin(*GENERIC) & ~F.lower(t).contains("chromosome")
+    return F.struct(F.when(good, root).alias("root"), F.when(good, stage).alias("stage"))
+
+
 def strain_key(text: Column) -> Column:
     """Spelling of a strain apart from case, blanks, hyphens, slashes, a trailing J and the animal's name."""
     t = F.regexp_replace(F.lower(squeeze(text)), r"\s+(?:mice|mouse|rats?)$", "")

@@ -152,6 +152,16 @@ def _(s, d):
     return S.read_xml(s, p, "part", "p_partkey bigint, p_brand string")
 
 
+@query("s12_nested_records", "select cui as id, min(lower(str)) as name, array_to_string(list_sort(list_distinct(list(lower(trim(str))))), '|') as names from umls_concepts where str is not null and trim(str) = str and not regexp_matches(str, '  ') group by 1")
+def _(s, d):
+    """Records with a name and nested synonyms, flattened to the sorted union of their names."""
+    t = table(s, d, "umls_concepts").where("str is not null and trim(str) = str and not (str rlike '  ')").groupBy(F.col("cui").alias("id")).agg(F.min(F.lower("str")).alias("name"), F.struct(F.collect_set(F.lower("str")).alias("synonym")).alias("synonyms"))
+    t.write.format("xml").option("rootTag", "drugs").option("rowTag", "drug").save(p := fresh_path(s, "xml"))
+    back = S.read_xml(s, p, "drug", "id string, name string, synonyms struct<synonym:array<string>>")
+    every = F.concat(F.array("name"), F.coalesce("synonyms.synonym", F.array().cast("array<string>")))
+    return back.select("id", "name", F.array_join(F.array_sort(F.array_distinct(F.transform(every, lambda x: F.trim(x)))), "|").alias("names"))
+
+
 @query("s13_first_name_wins", "with n as (select id, lower(name) n, 0 p, 0 i from ontology_terms union all select id, lower(x.text), 1, i from (select id, synonyms[i] x, i from ontology_terms, unnest(range(1, len(synonyms) + 1)) r(i)) where x.scope <> 'BROAD') select n as name, split_part(min(p || '#' || id), '#', 2) as id from n group by 1")
 def _(s, d):
     t = table(s, d, "ontology_terms")

@@ -225,6 +225,13 @@ def _(s, d):
     return E.by_label(_pred(s, d), "t", "s")
 
 
+@query("e02_weighted_scores", f"with l as (select t x from {_PRED} union select s from {_PRED}), c as (select x, count(*) filter (where t = x and s = x) tp, count(*) filter (where t <> x and s = x) fp, count(*) filter (where t = x and s <> x) fn from l, {_PRED} p group by 1), r as (select tp + fn w, coalesce(tp::double / nullif(tp + fp, 0), 0) p, coalesce(tp::double / nullif(tp + fn, 0), 0) r, coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) f from c) select sum(w)::bigint as support, round(sum(p * w) / sum(w), 5) as precision, round(sum(r * w) / sum(w), 5) as recall, round(sum(f * w) / sum(w), 5) as f1 from r")
+def _(s, d):
+    """Means of the labels' scores, weighted by their support."""
+    w = lambda c: F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 5).alias(c)
+    return E.by_label(_pred(s, d), "t", "s").agg(F.sum("support").alias("support"), w("precision"), w("recall"), w("f1"))
+
+
 _LISTS = f"(select string_split(unique_interventions_linkbert_predictions, '|') p, string_split(drug_umls_term_norm, '|') t from {ENT} where unique_interventions_linkbert_predictions is not null and drug_umls_term_norm is not null)"
 
 

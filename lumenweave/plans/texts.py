@@ -217,10 +217,15 @@ def _(s, d):
     return t.select("term", B.singular(F.col("term")).alias("one"))
 
 
-@query("f08_root_stage", "select id, regexp_extract(name, '^(.*?),? type (\\d+)$', 1) as root, regexp_extract(name, '^(.*?),? type (\\d+)$', 2) as stage from ontology_terms where regexp_matches(name, '^(.*?),? type (\\d+)$')")
+_STAGE = r"(?i)^(.+?),?(?:\s+type)?\s+(\d+[a-z]?|[ivx]+|[a-z]|[a-z]{1,2}\d{1,2}[a-z]?)$"
+
+
+@query("f08_root_stage", f"select id, regexp_extract(n, '{_STAGE}', 1) as root, regexp_extract(n, '{_STAGE}', 2) as stage from (select id, regexp_replace(trim(n), '(?i)[\\s,]+(and|or)$', '') n from (select id, name n from ontology_terms union all select id || '-' || i, 'case ' || n_name || case i % 4 when 0 then ' IV' when 1 then ', type 2' when 2 then ' 1b and' else ' x' end from (select 'nation' id, n_nationkey i, n_name from nation))) where regexp_matches(n, '{_STAGE}') and lower(regexp_extract(n, '{_STAGE}', 1)) not in ('disease', 'syndrome', 'disorder', 'deficiency', 'type', 'form', 'group', 'stage', 'grade', 'class') and not contains(lower(n), 'chromosome')")
 def _(s, d):
-    p = r"^(.*?),? type (\d+)$"
-    return table(s, d, "ontology_terms").where(F.col("name").rlike(p)).select("id", F.regexp_extract("name", p, 1).alias("root"), F.regexp_extract("name", p, 2).alias("stage"))
+    """Roots and stages of the terms, and of names with other stages, made up of the nations."""
+    i = F.col("n_nationkey") % 4
+    more = table(s, d, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("case "), "n_name", F.when(i == 0, " IV").when(i == 1, ", type 2").when(i == 2, " 1b and").otherwise(" x")).alias("name"))
+    return table(s, d, "ontology_terms").select("id", "name").union(more).select("id", B.root_and_stage(F.col("name")).alias("x")).where("x.root is not null").select("id", "x.root", "x.stage")
 
 
 @query("f11_plus_minus", r"select doc_id, raw, printf('%.2f', greatest(0, m - e)) || ', ' || printf('%.2f', m + e) as range from (select doc_id, raw, regexp_extract(raw, '^([\d.]+)', 1)::double m, regexp_extract(raw, '([\d.]+)$', 1)::double e from (select doc_id, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)? ?± ?\d+(?:\.\d+)?)', 1)) raw from documents))")

@@ -102,3 +102,8 @@ def test_sentences(spark):
     for r in K.sentences(df, "id", "text").orderBy("id", "sentence_id").collect():
         got.setdefault(r.id, []).append(r.sentence)
     assert [got.get(i, []) for i in range(len(SENTENCES))] == list(SENTENCES.values()) and 99 not in got
+
+
+def test_roots_and_stages(spark):
+    cases = {"ataxia, type 2": ("ataxia", "2"), "ataxia type IV": ("ataxia", "IV"), "ataxia 1b and": ("ataxia", "1b"), "ataxia X": ("ataxia", "X"), "disease 2": (None, None), "chromosome deletion 5": (None, None), "ataxia": (None, None), "glycogen storage": (None, None), None: (None, None)}
+    assert [tuple(r) for r in one(spark, B.root_and_stage, *cases)] == list(cases.values())
