@@ -7,9 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -50,10 +54,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application; results that were not written yet can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenweave/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/lumenweave/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +71,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, compressed more, with the path: for large tables that are removed as soon as they are read."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run inside go as soon as it has run, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 
@@ -80,3 +82,44 @@ def test_against_brute_force(spark):
     twice = SplitOverlap(df.union(df), "id", "sp", "toks", "source").pairs()
     assert twice.count() == 4 * len(want) and {(r.rec_id_a, r.rec_id_b) for r in twice.distinct().collect()} == want
     assert SplitOverlap(df.limit(0), "id", "sp", "toks").pairs().count() == 0
+
+
+def test_passes_find_the_same_and_leave_little_on_disk(spark, monkeypatch, tmp_path):
+    from lumenweave.llm import split_overlap
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(120):
+        w = [f"w{rnd.randrange(40)}" for _ in range(rnd.choice([9, 10, 17, 26, 27, 40, 90, 200]))]
+        rows.append((2 * i, "train", w))
+        w = list(w)
+        for _ in range(rnd.randrange(0, 2 + len(w) // 9)):
+            w[rnd.randrange(len(w))] = "new"
+            if rnd.random() < 0.3:
+                w.insert(rnd.randrange(len(w)), "ins")
+        rows.append((2 * i + 1, "dev", w))
+    want = {(a[0], b[0]) if a[0] < b[0] else (b[0], a[0]) for a in rows[::2] for b in rows[1::2] if plain_distance(a[2], b[2]) <= max(len(a[2]), len(b[2])) // 10}
+    df = spark.createDataFrame(rows, "id bigint, sp string, toks array<string>")
+    monkeypatch.setattr(split_overlap, "PASS_WORDS", 2000)
+    sizes, keep = {}, split_overlap.stored
+
+    def noted(df, name):
+        out, path = keep(df, name)
+        sizes.setdefault(name, []).append((out.count(), path.removeprefix("file://")))
+        return out, path
+
+    monkeypatch.setattr(split_overlap, "stored", noted)
+    blocks = lambda: sum(str(b).startswith("shuffle_") for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
+    before = blocks()
+    links = SplitOverlap(df, "id", "sp", "toks")
+    near = links.pairs()
+    index = [n for n, _ in sizes["overlap-index"]]
+    assert len(index) > 2 and max(index) < 0.6 * sum(index)
+    left = {name for name, tables in sizes.items() for _, path in tables if os.path.exists(path)}
+    assert left == {"overlap-members", "overlap-classes", "overlap-near"}
+    for _ in range(50):
+        if blocks() <= before + 40:
+            break
+        time.sleep(0.2)
+    assert blocks() <= before + 40  # what the last step, of pairs of records, shuffles; not the passes
+    assert {(r.rec_id_a, r.rec_id_b) for r in near.collect()} == want and len(want) > 30
